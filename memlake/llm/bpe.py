@@ -22,6 +22,7 @@ import regex
 from tokenizers import Tokenizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import rebatched, small_batches
 
@@ -229,7 +230,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("ids", "decoded")
-    schema = docs.schema.add("ids", "binary").add("decoded", "string")
+    schema = StructType(list(docs.schema.fields)).add("ids", "binary").add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
