@@ -14,7 +14,8 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: bounds a Python worker's memory for long texts.
 BATCH_ROWS = 500
@@ -81,3 +82,21 @@ def rebatched(batches: Iterable[pa.RecordBatch], max_bytes: int = 32 << 20) -> I
         step = max(1, -(-b.num_rows // n))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+
+
+def class_sample(rows: DataFrame, kind: str, h: str, limit: int, most_classes: int = 1000) -> DataFrame:
+    """Up to ``limit`` rows of each class, those with the smallest signed 64-bit hash ``h``.
+
+    A class's rows are first cut, where they are, to a hash range that holds about twice the
+    limit, so that only these few are moved and ranked. Ties are broken by the other columns.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(kind).count().limit(most_classes + 1).collect()}
+    if len(counts) > most_classes:
+        raise ValueError(f"more than {most_classes} classes in {kind}")
+    near = F.lit(False)
+    for k, n in counts.items():
+        share = min(1.0, (2 * limit + 50) / n)
+        bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
+        near = near | (F.col(kind).eqNullSafe(F.lit(k)) & (F.col(h) <= F.lit(bound)))
+    w = Window.partitionBy(kind).orderBy(h, *[c for c in rows.columns if c not in (kind, h)])
+    return rows.where(near).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit).drop("_rank")
