@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, html, langid, tokenfile, toxicity
+from . import ann, bpe, chat, decontam, html, langid, tokenfile, toxicity
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.roundtrip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op3_bpe": op3_bpe,
     "op5_html": op5_html,
+    "op6_decontaminate": op6_decontaminate,
     "op7_token_files": op7_token_files,
     "op8_chat": op8_chat,
     "op9_langid": op9_langid,
