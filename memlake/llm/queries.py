@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, chat, decontam, html, langid, tokenfile, toxicity
+from . import ann, bpe, chat, decontam, html, langid, simhash, tokenfile, toxicity
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(table(spark, sf_dir, "documents"))
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -49,6 +53,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op3_bpe": op3_bpe,
+    "op4_simhash": op4_simhash,
     "op5_html": op5_html,
     "op6_decontaminate": op6_decontaminate,
     "op7_token_files": op7_token_files,
