@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import rebatched, small_batches
+from .common import class_sample, rebatched, small_batches
 
 #: At most so many labelled documents of each class are used to train.
-TRAIN_DOCS = 3000
+TRAIN_DOCS = 2000
 #: Words whose lengths a worker keeps; bounds memory, not results.
 CACHE = 300_000
 #: Words of a window. Each is compressed as a block of its own, so that the lengths of repeated
@@ -202,18 +202,16 @@ def _monotone(points: list[tuple[float, int]]) -> tuple[list[float], list[float]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> list[tuple[str, int]]:
-    """Up to ``limit`` labelled documents of each class, the first by a hash of their text.
+    """Up to ``limit`` labelled documents of each class, the first by a hash of their id.
 
     Only rows whose crc32(doc_id as text) mod 4 is not 2 are taken. Of several labels of a
     document the highest counts; null labels and null ids don't.
     """
     fits = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
     y = labels.where(F.col("toxic").isin(0, 1)).where(fits).groupBy("doc_id").agg(F.max("toxic").alias("y"))
-    rows = docs.where(fits).where(F.col("text").isNotNull()).select("doc_id", "text").join(y, "doc_id").select("text", "y", F.xxhash64("text", "doc_id").alias("h"))
-    out: list[tuple[str, int]] = []
-    for kind in (0, 1):
-        out += [(r.h, r.text, r.y) for r in rows.where(F.col("y") == kind).orderBy("h", "text").limit(limit).collect()]
-    return [(t, y) for _, t, y in sorted(out)]
+    y = class_sample(y.withColumn("h", F.xxhash64("doc_id")), "y", "h", limit)  # 2 * limit short rows
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    return [(r["text"], r["y"]) for r in rows.orderBy("h", "doc_id", "text").select("text", "y").collect()]
 
 
 def score_documents(docs: DataFrame, model: Model) -> DataFrame:
