@@ -8,6 +8,7 @@ inside them, and scores exactly.
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
@@ -55,7 +56,7 @@ PRESETS = {
 
 
 class IvfIndex:
-    """An index at a path: ``cells/`` by cell, ``deleted/`` ids, ``manifest/`` with centroids and settings."""
+    """An index at a path: ``cells/`` by cell and ``deleted/`` ids, both only appended to and stamped with a time, and ``manifest/`` with centroids and settings."""
 
     def __init__(self, spark, path: str, centroids: np.ndarray, metric: Metric, config: AnnConfig):
         self.spark, self.path, self.centroids, self.metric, self.config = spark, path, centroids, metric, config
@@ -75,7 +76,7 @@ class IvfIndex:
         centroids = kmeans(data, cells, config.rounds) if len(data) else np.zeros((1, 1))
         index = cls(spark, path, centroids, metric, config)
         index._assign(rows).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
-        spark.createDataFrame([], "id string").write.mode("overwrite").parquet(f"{path}/deleted")
+        spark.createDataFrame([], "id string, at long").write.mode("overwrite").parquet(f"{path}/deleted")
         info = json.dumps({"metric": metric.value, "probes": config.probes, "rounds": config.rounds, "centroids": centroids.tolist()})
         spark.createDataFrame([(info,)], "manifest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
         return index
@@ -97,51 +98,35 @@ class IvfIndex:
 
     def _assign(self, rows: DataFrame) -> DataFrame:
         c = self.centroids
-        schema = "id string, vector array<float>, metadata string, cell int"
+        schema, at = "id string, vector array<float>, metadata string, at long, cell int", time.time_ns()
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in parts:
                 if len(p):
                     m = np.stack(p["vector"].to_numpy()).astype(float)
-                    yield p.assign(cell=(np.square(c).sum(1)[None] - 2 * m @ c.T).argmin(1))
+                    yield p.assign(at=at, cell=(np.square(c).sum(1)[None] - 2 * m @ c.T).argmin(1))
 
         return rows.select(F.col("id").cast("string").alias("id"), F.col("vector").cast("array<float>").alias("vector"), F.col("metadata")).mapInPandas(run, schema)
 
     def rows(self) -> DataFrame:
-        """What is indexed and not deleted."""
-        gone = self.spark.read.parquet(f"{self.path}/deleted")
-        return self.spark.read.parquet(f"{self.path}/cells").join(gone, "id", "left_anti")
+        """What is indexed and wasn't deleted since."""
+        gone = self.spark.read.parquet(f"{self.path}/deleted").groupBy("id").agg(F.max("at").alias("gone"))
+        return self.spark.read.parquet(f"{self.path}/cells").join(gone, "id", "left").where(F.col("gone").isNull() | (F.col("at") > F.col("gone"))).drop("gone", "at")
 
     def insert(self, rows: DataFrame) -> int:
-        """File rows whose ids aren't indexed yet; their number. Ids that were deleted come back."""
-        new = rows.join(self.rows().select("id"), "id", "left_anti").persist()
+        """File rows whose ids aren't indexed; their number. A deleted id may come back."""
+        new = self._assign(rows.join(self.rows().select("id"), "id", "left_anti")).persist()
         n = new.count()
-        if n:
-            gone = self.spark.read.parquet(f"{self.path}/deleted").join(new.select("id"), "id", "left_anti")
-            stale = self.spark.read.parquet(f"{self.path}/cells").join(new.select("id"), "id", "left_semi").count()
-            if stale:
-                self._rewrite(self.spark.read.parquet(f"{self.path}/cells").join(new.select("id"), "id", "left_anti"), gone)
-            self._assign(new).write.mode("append").partitionBy("cell").parquet(f"{self.path}/cells")
+        new.write.mode("append").partitionBy("cell").parquet(f"{self.path}/cells")
         new.unpersist()
         return n
 
-    def _rewrite(self, cells: DataFrame, gone: DataFrame) -> None:
-        cells.write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/cells.new")
-        gone.write.mode("overwrite").parquet(f"{self.path}/deleted.new")
-        jvm = self.spark.sparkContext._jvm
-        for x in ("cells", "deleted"):
-            old, new = (jvm.org.apache.hadoop.fs.Path(f"{self.path}/{x}{e}") for e in ("", ".new"))
-            fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-            fs.delete(old, True)
-            fs.rename(new, old)
-        self.spark.catalog.refreshByPath(self.path)
-
     def delete(self, ids: DataFrame) -> None:
         """Ids are no longer found, and their rows go with the next rewrite."""
-        ids.select(F.col("id").cast("string").alias("id")).distinct().write.mode("append").parquet(f"{self.path}/deleted")
+        ids.select(F.col("id").cast("string").alias("id"), F.lit(time.time_ns()).alias("at")).distinct().write.mode("append").parquet(f"{self.path}/deleted")
 
     def deleted_count(self) -> int:
-        return self.spark.read.parquet(f"{self.path}/deleted").distinct().count()
+        return self.spark.read.parquet(f"{self.path}/deleted").select("id").distinct().count()
 
     def contains(self, i: str) -> bool:
         return bool(self.rows().where(F.col("id") == i).limit(1).count())
