@@ -77,6 +77,8 @@ def cell_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
             kth = np.partition(low, -k, 1)[:, -k] if low.shape[1] >= k else np.full(len(low), -np.inf)
             best = np.array([-h[k - 1][0] if len(h) == k else -np.inf for h in heaps[i : i + TILE[0]]])
             a, b = np.nonzero((near + bound >= np.maximum(kth, best)[:, None]) & other)
+            if not len(a):
+                continue
             a, b = a + i, b + j
             score = _dots(q[a], c[b]) / (qn[a] * cn[b])
             order = np.lexsort((cid[b], -score, a))
