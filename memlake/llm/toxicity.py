@@ -36,9 +36,11 @@ WINDOW = 4
 CONTRAST = 12.0
 #: A segment stands in so many different contexts at least, and in this many for each hundred
 #: documents of its class. A context is the pair of words around a word: copies of a document add none.
-LEAST, LEAST_SHARE = 4, 0.02
+LEAST, LEAST_SHARE = 5, 0.02
 #: Bytes of frequent words in either dictionary, and of a class's own segments.
 COMMON_BYTES, OWN_BYTES = 4096, 24576
+#: Characters that zstandard matches at least, and of a segment at most: only the beginnings of words count, as their ends are shared with others.
+PIECE, SEGMENT = 5, 7
 #: What every block ends with: zstandard looks for no match in a block's last bytes, and stores raw what hardly shrinks.
 TAIL = b"|0123456789-abcdefghijklmnopqrstuvwxyz=9876543210|"
 #: Bytes that a window must save to be evidence: the one that fits the calibration documents best is taken.
@@ -79,7 +81,7 @@ def _segments(own: Counter, n_own: int, other: Counter, n_other: int, least: flo
     for s in own:
         if high(s) and not (len(s) > 4 and high(s[:-1])):
             t = s
-            while t in longer and own[best := max(longer[t], key=lambda x: (own[x], x))] >= 0.9 * own[t]:
+            while len(t) < SEGMENT and t in longer and own[best := max(longer[t], key=lambda x: (own[x], x))] >= 0.9 * own[t]:
                 t = best
             grown[t] = s
     return sorted(grown, key=lambda t: (own[t] / n_own - other[t] / n_other, t))
@@ -140,38 +142,50 @@ class Model:
 
 
 def _coder(content: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters.from_level(1, strategy=zstandard.STRATEGY_LAZY, min_match=5, window_log=16, hash_log=15, chain_log=15, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
+    params = zstandard.ZstdCompressionParameters.from_level(1, strategy=zstandard.STRATEGY_LAZY, min_match=PIECE, window_log=16, hash_log=15, chain_log=15, search_log=6, write_content_size=False, write_checksum=False, write_dict_id=False)
     d = zstandard.ZstdCompressionDict(content or b" " * 16, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(compression_params=params)
     return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
 
 
+def _contexts(docs: list[tuple[str, int]]) -> dict[int, set[tuple[str, str, str]]]:
+    """Each class's words with the words around them."""
+    out: dict[int, set] = {0: set(), 1: set()}
+    for text, y in docs:
+        words = [w.decode() for w in _clean(text)]
+        out[y].update(zip(["", *words], words, [*words[1:], ""], strict=False))
+    return out
+
+
 def train(docs: list[tuple[str, int]]) -> Model:
-    """Fit on (text, label) pairs: even ones make the dictionaries, odd ones calibrate.
+    """Fit on (text, label) pairs: two of three make the dictionaries, the third calibrates.
 
-    Without toxic or without ordinary text every score is the share of toxic labels.
+    Segments must hold up in new contexts of the calibration documents. Without toxic or
+    without ordinary text every score is the share of toxic labels.
     """
     rate = sum(y for _, y in docs) / len(docs) if docs else 0.0
     flat = Model(b"", b"", 1, [0.0], [rate])
-    if len({y for _, y in docs[::2]}) < 2:
+    fit, rest = [x for i, x in enumerate(docs) if i % 3 < 2], docs[2::3]
+    if len({y for _, y in fit}) < 2:
         return flat
-    seen_in: dict[int, set] = {0: set(), 1: set()}
-    for text, y in docs[::2]:
-        words = [w.decode() for w in _clean(text)]
-        seen_in[y].update(zip(["", *words], words, [*words[1:], ""], strict=False))
+    seen_in = _contexts(fit)
+    new = {y: c - seen_in[y] for y, c in _contexts(rest).items()}
     single = {y: Counter(w for _, w, _ in seen_in[y]) for y in seen_in}
     total = {y: max(1, len(seen_in.pop(y))) for y in (0, 1)}
     count = {y: _prefixes(single[y]) for y in single}
-    least = {y: max(LEAST, LEAST_SHARE * sum(z == y for _, z in docs[::2])) for y in single}
+    again = {y: _prefixes(Counter(w for _, w, _ in new[y])) for y in new}
+    size = {y: max(1, len(new.pop(y))) for y in (0, 1)}
+    least = {y: max(LEAST, LEAST_SHARE * sum(z == y for _, z in fit)) for y in single}
     freq = single[0] + single[1]
     segments = {y: _segments(count[y], total[y], count[1 - y], total[1 - y], least[y]) for y in count}
-    marked = re.compile("|".join(re.escape(x) for y in segments for x in segments[y]) or "$^")
+    held = {y: [x for x in segments[y] if again[y][x] >= max(2, count[y][x] * size[y] / total[y] / 4) and again[y][x] / size[y] >= CONTRAST / 2 * again[1 - y][x] / size[1 - y]] for y in segments}
+    marked = re.compile("|".join(re.escape(x) for y in held for x in held[y]) or "$^")
     common = _content([" " + w for w, _ in sorted(freq.items(), key=lambda x: (x[1], x[0])) if not marked.search(f" {w} ")], COMMON_BYTES)
-    own = {y: _content(segments[y], OWN_BYTES) for y in segments}
+    own = {y: _content(held[y], OWN_BYTES) for y in held}
     # a class's own segments are nearest to the window, as far from it in either dictionary
     size = max(map(len, own.values()))
     model = Model(common + TAIL + own[1].rjust(size, b"\0"), common + TAIL + own[0].rjust(size, b"\0"), 1, [0.0], [rate])
-    seen = [(model.gains(_clean(t)), y) for t, y in docs[1::2]]
+    seen = [(model.gains(_clean(t)), y) for t, y in rest]
     fits = []
     for model.threshold in THRESHOLDS:
         points = sorted((model.evidence(g), y) for g, y in seen)
