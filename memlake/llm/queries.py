@@ -69,5 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op1_ann": ann.SQL,
+    "op2_substring": substring.SQL,
+    "op6_decontaminate": decontam.SQL,
     "op8_chat": chat.SQL,
 }

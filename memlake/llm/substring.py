@@ -217,3 +217,19 @@ def deduplicate(docs: DataFrame, column: str = "kept") -> DataFrame:
 def digests(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every document."""
     return deduplicate(docs.select("doc_id", "text")).select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT r, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+), p AS (
+  SELECT DISTINCT r, unnest(range(i, i + 35)) AS k FROM s WHERE h IN (SELECT h FROM s GROUP BY h HAVING count(*) > 1)
+), x AS (
+  SELECT r, k, w[k] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS k FROM d)
+), kept AS (
+  SELECT r, string_agg(word, ' ' ORDER BY k) AS t, count(*) AS n FROM x ANTI JOIN p USING (r, k) GROUP BY r
+)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
