@@ -466,3 +466,53 @@ def tier_default_ttl(spark, sf):
 @query("latency_stats", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
 def latency_stats(spark, sf):
     return t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+
+
+# --- stores and indexes -----------------------------------------------------------------------
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share."""
+    import tempfile
+    import uuid
+
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir() + '/memlake'}/{uuid.uuid4().hex}"
+
+
+@query("ivf_batch_topk")
+def ivf_batch_topk(spark, sf):
+    from ..operators.ivf import IvfIndex
+
+    index = IvfIndex.build(vectors(spark, sf), scratch(spark), "cosine", "high_recall")
+    return rounded(index.batch_search(_queries(spark, sf), 10))
+
+
+_HALF = "round(list_sum(list_transform(v, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))), 4)"
+
+
+@query("collection_lifecycle", f"SELECT id, CAST(label AS BIGINT) AS label, version FROM (SELECT id, label, vec_id, CASE WHEN vec_id % 5 = 0 THEN 2 ELSE 1 END AS version FROM {E}) WHERE vec_id % 7 <> 0")
+def collection_lifecycle(spark, sf):
+    from ..sources.store import Database
+
+    c = Database(spark, scratch(spark), lambda: NOW).collection("c", 64, "dot")
+    rows = vectors(spark, sf)
+    meta = lambda v: F.to_json(F.struct(F.col("label"), F.lit(v).alias("version")))
+    c.upsert_frame(rows.withColumn("metadata", meta(1)))
+    c.upsert_frame(rows.where("vec_id % 5 = 0").withColumn("metadata", meta(2)))
+    c.delete_frame(rows.where("vec_id % 7 = 0"))
+    get = lambda k: F.get_json_object("metadata", f"$.{k}")
+    return c.rows().select("id", get("label").cast("long").alias("label"), get("version").cast("int").alias("version"))
+
+
+@query("ndjson_roundtrip", f"SELECT id, {_HALF} AS total, label FROM {E}")
+def ndjson_roundtrip(spark, sf):
+    from ..sources import ndjson
+    from ..sources.store import Database
+
+    db = Database(spark, scratch(spark), lambda: NOW)
+    one, two = db.collection("one", 64, "dot"), db.collection("two", 64, "dot")
+    one.upsert_frame(vectors(spark, sf))
+    ndjson.export(one, f"{db.root}/export")
+    ndjson.import_file(two, f"{db.root}/export")
+    total = F.round(F.aggregate(V.doubles("vector"), F.lit(0.0), lambda s, x: s + x), 4)
+    return two.rows().select("id", total.alias("total"), F.get_json_object("metadata", "$.label").cast("int").alias("label"))
