@@ -41,6 +41,8 @@ LEAST, LEAST_SHARE = 5, 0.02
 COMMON_BYTES, OWN_BYTES = 4096, 24576
 #: Characters that zstandard matches at least, and of a segment at most: only the beginnings of words count, as their ends are shared with others.
 PIECE, SEGMENT = 5, 7
+#: Bytes after the last segment of a dictionary.
+END = b"\0" * 16
 #: What every block ends with: zstandard looks for no match in a block's last bytes, and stores raw what hardly shrinks.
 TAIL = b"|0123456789-abcdefghijklmnopqrstuvwxyz=9876543210|"
 #: Bytes that a window must save to be evidence: the one that fits the calibration documents best is taken.
@@ -158,14 +160,15 @@ def _contexts(docs: list[tuple[str, int]]) -> dict[int, set[tuple[str, str, str]
 
 
 def train(docs: list[tuple[str, int]]) -> Model:
-    """Fit on (text, label) pairs: two of three make the dictionaries, the third calibrates.
+    """Fit on (text, label) pairs: two of three of each class make the dictionaries, the third calibrates.
 
     Segments must hold up in new contexts of the calibration documents. Without toxic or
     without ordinary text every score is the share of toxic labels.
     """
     rate = sum(y for _, y in docs) / len(docs) if docs else 0.0
     flat = Model(b"", b"", 1, [0.0], [rate])
-    fit, rest = [x for i, x in enumerate(docs) if i % 3 < 2], docs[2::3]
+    sides = [[x for x in docs if x[1] == y] for y in (0, 1)]
+    fit, rest = ([x for side in sides for i, x in enumerate(side) if (i % 3 == 2) == last] for last in (False, True))
     if len({y for _, y in fit}) < 2:
         return flat
     seen_in = _contexts(fit)
@@ -182,9 +185,9 @@ def train(docs: list[tuple[str, int]]) -> Model:
     marked = re.compile("|".join(re.escape(x) for y in held for x in held[y]) or "$^")
     common = _content([" " + w for w, _ in sorted(freq.items(), key=lambda x: (x[1], x[0])) if not marked.search(f" {w} ")], COMMON_BYTES)
     own = {y: _content(held[y], OWN_BYTES) for y in held}
-    # a class's own segments are nearest to the window, as far from it in either dictionary
+    # a class's own segments are nearest to the window, as far from it in either dictionary; its last bytes aren't indexed
     size = max(map(len, own.values()))
-    model = Model(common + TAIL + own[1].rjust(size, b"\0"), common + TAIL + own[0].rjust(size, b"\0"), 1, [0.0], [rate])
+    model = Model(common + TAIL + own[1].rjust(size, b"\0") + END, common + TAIL + own[0].rjust(size, b"\0") + END, 1, [0.0], [rate])
     seen = [(model.gains(_clean(t)), y) for t, y in rest]
     fits = []
     for model.threshold in THRESHOLDS:
