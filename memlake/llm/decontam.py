@@ -114,6 +114,12 @@ def frequencies(index: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: a segment's lists are large as Python objects."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 class Segment:
     """Postings of a segment: sorted positions of each term."""
 
@@ -163,7 +169,7 @@ class Segment:
 def hits(index: DataFrame, test: Test, frequency: np.ndarray) -> DataFrame:
     """``doc_id, key, n_words, n_hit, items, spans`` of every indexed document; spans: first word (from 0) and end of each hit run, end to end."""
     spark = index.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")  # segments are large
+    small_batches(spark)
     rank = np.append(frequency, np.iinfo(np.int64).max)
     rarest = np.argsort(rank[test.windows], axis=1, kind="stable").astype(np.int32)
     held = spark.sparkContext.broadcast((test.windows, test.lengths, rarest, test.items))
@@ -171,7 +177,7 @@ def hits(index: DataFrame, test: Test, frequency: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, lengths, order, items = held.value
         for b in batches:
-            for row in b.to_pylist():
+            for row in _each(b):
                 seg = Segment(row)
                 w, at = seg.phrases(windows, lengths, order) if len(windows) else (np.zeros(0, int), np.zeros(0, int))
                 edge = np.zeros(seg.length + 1, np.int64)
@@ -235,7 +241,7 @@ def proximity(index: DataFrame, vocab: dict[bytes, int], terms: list[str], width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.to_pylist():
+            for row in _each(b):
                 seg = Segment(row)
                 at = seg.postings(ids[0])
                 d = seg.documents(at)
