@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..functions import vector as V
 from ..functions.jsonfilter import compile_filter
@@ -16,6 +17,8 @@ from ..types import InvalidInput, Metric
 
 #: Queries that are scored against one pass over the table; their vectors are sent to all executors.
 QUERY_BLOCK = 4096
+#: Rows that a budget is dealt to at a time on the driver.
+BUDGET_CHUNK = 1000
 
 
 def _predicate(where: Any, dialect: str) -> Column:
@@ -147,17 +150,38 @@ def recall(exact: DataFrame, approximate: DataFrame, by: Sequence[str] = ("qid",
 
 
 def budget(rows: DataFrame, limit: int, order: Sequence[str], cost: str) -> DataFrame:
-    """Greedy choice under a total cost: rows in order, each taken if it still fits. One task sees the
-    rows, so give it results that a top-k has already bounded."""
-    kept = rows.orderBy(*order).coalesce(1)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        left = limit
-        for p in parts:
-            take = []
-            for c in p[cost]:
-                take.append(bool(c <= left))
-                left -= c if take[-1] else 0
-            yield p[take]
-
-    return kept.mapInPandas(run, rows.schema)
+    """Greedy choice under a total cost: rows in order, each taken if it still fits.
+
+    What is left only shrinks, so after each BUDGET_CHUNK rows that could fit, the next ones are
+    sought by a top-k over all rows among those that still can. The driver holds a chunk and the
+    keys of what is taken at a cost, which the limit bounds; rows without a cost all fit. Costs
+    can't be negative, and a null cost never fits. Among rows of one place the cheapest is first.
+    """
+    spark, at, c = rows.sparkSession, F.struct(*order, cost), F.col(cost)
+    if (least := rows.agg(F.min(cost)).first()[0]) is not None and least < 0:
+        raise InvalidInput("costs can't be negative")
+    each = rows.where((c > 0) & ~F.isnan(c.cast("double"))).groupBy(*order, cost).agg(F.count("*").alias("_n"))
+    kinds = each.schema
+    left, last, taken = limit, None, []
+    while left > 0:
+        able = each.where(c <= F.lit(left))
+        if last is not None:
+            able = able.where(at > F.struct(*[F.lit(last[f]).cast(kinds[f].dataType).alias(f) for f in (*order, cost)]))
+        got = able.orderBy(at).limit(BUDGET_CHUNK).collect()
+        for r in got:
+            if n := int(min(r["_n"], left // r[cost])):
+                taken.append((*[r[f] for f in (*order, cost)], n))
+                left -= n * r[cost]
+        if len(got) < BUDGET_CHUNK:
+            break
+        last = got[-1]
+    free = rows.where(c == 0) if limit >= 0 else rows.limit(0)
+    if not taken:
+        return free.orderBy(at)
+    keys = spark.createDataFrame(taken, StructType([*[StructField(f"_k{i}", kinds[f].dataType) for i, f in enumerate((*order, cost))], StructField("_n", LongType())]))
+    match = [F.col(f).eqNullSafe(F.col(f"_k{i}")) for i, f in enumerate((*order, cost))]
+    found = rows.join(F.broadcast(keys), match)
+    # of rows that repeat place and cost only so many were taken
+    w = Window.partitionBy(*[f"_k{i}" for i in range(len(match))]).orderBy(F.lit(0))
+    paid = found.withColumn("_row", F.row_number().over(w)).where(F.col("_row") <= F.col("_n")).select(*rows.columns)
+    return paid.unionByName(free).orderBy(at)

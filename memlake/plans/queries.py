@@ -436,7 +436,7 @@ SELECT conv_id, turn, cost FROM w WHERE taken
 
 @query("context_budget", _BUDGET)
 def context_budget(spark, sf):
-    rows = t(spark, sf, "conversations").where("conv_id < 30").select("conv_id", "turn", F.length("text").cast("long").alias("cost"))
+    rows = t(spark, sf, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("cost"))
     return knn.budget(rows, 5000, ["conv_id", "turn"], "cost")
 
 

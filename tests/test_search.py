@@ -143,6 +143,31 @@ def test_recall_and_budget(spark):
     assert [r["k"] for r in knn.budget(rows, 8, ["k"], "cost").collect()] == [1, 3, 4]
 
 
+def test_budget_over_all_rows(spark, tmp_path, monkeypatch):
+    def greedy(rows, left):
+        out = []
+        for r in rows:
+            if r[-1] is not None and r[-1] <= left:
+                left -= r[-1]
+                out.append(r)
+        return out
+
+    rng = np.random.default_rng(4)
+    talk = [(int(i), int(j), "x" * int(rng.integers(0, 900) if i < 30 else rng.integers(0, 40))) for i in range(60) for j in range(5)]
+    spark.createDataFrame(talk, "conv_id long, turn long, text string").repartition(6).write.parquet(str(tmp_path / "conversations.parquet"))
+    want = greedy([(a, b, len(x)) for a, b, x in talk], 5000)
+    assert any(r[0] >= 30 for r in want)
+    df = Q.context_budget(spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == want
+    monkeypatch.setattr(knn, "BUDGET_CHUNK", 3)
+    rows = sorted([(int(rng.integers(0, 20)), int(rng.integers(0, 30))) for _ in range(200)])
+    df = spark.createDataFrame([*rows, (None, 7), (3, None)], "k long, cost long").repartition(5)
+    for limit in (0, 40, 333, 5000):
+        assert [tuple(r) for r in knn.budget(df, limit, ["k"], "cost").collect()] == greedy([(None, 7), *rows], limit)
+    with pytest.raises(InvalidInput):
+        knn.budget(spark.createDataFrame([(1, -1)], "k long, cost long"), 5, ["k"], "cost")
+
+
 def test_inverted_lists(spark, tmp_path):
     rng = np.random.default_rng(3)
     centres = units(20, 32, 5)
