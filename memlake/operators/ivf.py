@@ -26,12 +26,17 @@ from .quant import kmeans
 
 @dataclass(frozen=True)
 class AnnConfig:
-    """``cells`` None: the square root of the rows. ``sample`` bounds the rows that centroids are fitted on."""
+    """``cells`` None: the square root of the rows. ``sample`` bounds the rows that centroids are fitted on.
+
+    ``recall``: more than ``probes`` cells are probed where so many are needed for this share of the
+    10 nearest, as measured on a sample when the index is built; None leaves the probes as they are.
+    """
 
     cells: int | None = None
     probes: int = 8
     rounds: int = 8
     sample: int = 20_000
+    recall: float | None = None
 
     def with_probes(self, n: int) -> AnnConfig:
         return replace(self, probes=n)
@@ -43,18 +48,43 @@ class AnnConfig:
         return replace(self, rounds=n)
 
 
+#: Sampled rows whose neighbours are sought to find out how many cells to probe.
+SAMPLED_QUERIES = 1000
+
 #: Presets by name, from quick to thorough.
 PRESETS = {
     "fast": AnnConfig(probes=4, rounds=4),
     "high_throughput": AnnConfig(probes=6, rounds=4),
     "default": AnnConfig(),
-    "high_recall": AnnConfig(probes=16, rounds=10),
-    "production": AnnConfig(probes=20, rounds=10),
-    "max_recall": AnnConfig(probes=32, rounds=15),
+    "high_recall": AnnConfig(probes=16, rounds=10, recall=0.96),
+    "production": AnnConfig(probes=20, rounds=10, recall=0.96),
+    "max_recall": AnnConfig(probes=32, rounds=15, recall=0.99),
     "pq_optimized": AnnConfig(probes=24, rounds=12),
 }
 
 
+def probes_needed(q: np.ndarray, rows: np.ndarray, centroids: np.ndarray, metric: Metric, recall: float, k: int = 10) -> int:
+    """Cells to probe so that this share of the k nearest rows of the queries is found.
+
+    ``q`` are the first of ``rows``; no query counts as its own neighbour. Nearest among a sample
+    are farther off, so if anything in farther cells, than the nearest among all rows.
+    """
+    n = np.square(centroids).sum(1)[None]
+    cell = np.concatenate([(n - 2 * rows[i : i + 4096] @ centroids.T).argmin(1) for i in range(0, len(rows), 4096)])
+    found = []
+    for i in range(0, len(q), 64):
+        part = q[i : i + 64]
+        near = part @ rows.T
+        if metric is Metric.L2:
+            near = 2 * near - np.square(rows).sum(1)[None]
+        near[np.arange(len(part)), np.arange(i, i + len(part))] = -np.inf
+        best = np.argpartition(-near, min(k, len(rows) - 1) - 1, axis=1)[:, : min(k, len(rows) - 1)]
+        turn = np.argsort(np.argsort(n - 2 * part @ centroids.T, axis=1, kind="stable"), axis=1)
+        found.append(np.take_along_axis(turn, cell[best], 1).ravel())
+    ranks = np.sort(np.concatenate(found)) + 1
+    return int(ranks[max(0, int(np.ceil(recall * len(ranks))) - 1)])
+
+
 class IvfIndex:
     """An index at a path: ``cells/`` by cell and ``deleted/`` ids, both only appended to and stamped with a time, and ``manifest/`` with centroids and settings."""
 
@@ -71,9 +101,21 @@ class IvfIndex:
         cells = config.cells or max(1, int(np.sqrt(n)))
         # a hash range holds about the sample, so that only few vectors are moved
         share = min(1.0, (config.sample + 100) / max(1, n))
-        near = F.xxhash64("id") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
-        data = np.array([r["v"] for r in rows.where(near).select(V.doubles("vector").alias("v")).limit(2 * config.sample).collect()])
+
+        def sample(part: int) -> np.ndarray:
+            low, high = (min((1 << 63) - 1, int(min(1.0, share * x) * (1 << 64)) - (1 << 63)) for x in (part, part + 1))
+            h = F.xxhash64("id")
+            held = rows.where((h <= high) & (h > low if part else F.lit(True)))
+            return np.array([r["v"] for r in held.select(V.doubles("vector").alias("v")).limit(2 * config.sample).collect()])
+
+        data = sample(0)
         centroids = kmeans(data, cells, config.rounds) if len(data) else np.zeros((1, 1))
+        if config.recall is not None and len(data) > 1:
+            # centroids are closer to the rows that they were fitted on than to others, so others are asked where there are any
+            other = sample(1) if share < 1 else data
+            data = other if len(other) > 10 else data
+            data = np.random.default_rng(7).permutation(data)
+            config = config.with_probes(max(config.probes, probes_needed(data[:SAMPLED_QUERIES], data, centroids, metric, config.recall)))
         index = cls(spark, path, centroids, metric, config)
         index._assign(rows).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
         spark.createDataFrame([], "id string, at long").write.mode("overwrite").parquet(f"{path}/deleted")

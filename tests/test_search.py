@@ -191,5 +191,32 @@ def test_inverted_lists(spark, tmp_path):
     assert PRESETS["default"].with_probes(3).probes == 3
 
 
+def embeddings(spark, folder, v):
+    rows = [(i, [float(y) for y in x], i % 10) for i, x in enumerate(v)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1", "random"])
+def test_recall_of_the_registered_ivf_query(spark, tmp_path, size):
+    # random vectors have no clusters
+    sf = embeddings(spark, tmp_path, units(6000, 64, 8)) if size == "random" else f"/root/testdata/{size}"
+    exact = knn.batch_search(Q._queries(spark, sf), Q.vectors(spark, sf), 10)
+    assert knn.recall(exact, Q.ivf_batch_topk(spark, sf)).first()["recall"] >= 0.9
+
+
+def test_probes_follow_the_data(spark, tmp_path):
+    v = units(3000, 32, 6)
+    df = frame(spark, v)
+    asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 3000, 60)], "qid long, vector array<float>")
+    config = PRESETS["high_recall"].__class__(probes=4, rounds=3, sample=1000, recall=0.95)
+    for metric in ("cosine", "l2"):
+        index = IvfIndex.build(df, str(tmp_path / metric), metric, config)
+        assert 4 < index.config.probes <= len(index.centroids)
+        assert knn.recall(knn.batch_search(asked, df, 10, metric), index.batch_search(asked, 10)).first()["recall"] >= 0.9
+        assert IvfIndex.load(spark, str(tmp_path / metric)).config.probes == index.config.probes
+    assert IvfIndex.build(df, str(tmp_path / "quick"), "cosine", "fast").config.probes == 4
+
+
 def test_every_oracle_names_a_query():
     assert set(Q.SQL) <= set(Q.QUERIES) and len(Q.QUERIES) > 50
