@@ -205,6 +205,24 @@ def test_recall_of_the_registered_ivf_query(spark, tmp_path, size):
     assert knn.recall(exact, Q.ivf_batch_topk(spark, sf)).first()["recall"] >= 0.9
 
 
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1", "random"])
+def test_recall_of_the_registered_pq_query(spark, tmp_path, monkeypatch, size):
+    sf = embeddings(spark, tmp_path, units(6000, 64, 8)) if size == "random" else f"/root/testdata/{size}"
+    rows = [(r["id"], np.array(r["vector"], float)) for r in Q.vectors(spark, sf).collect()]
+    train, asked = quant.ProductQuantizer.train, [v.tolist() for _, v in rows[:: len(rows) // 5]]
+    made = train(Q.vectors(spark, sf))
+    assert made.books.shape[1] == 256
+    # one training for all queries, with what the query asks for
+    called = []
+    monkeypatch.setattr(quant.ProductQuantizer, "train", lambda *a, **b: called.append(b) or made)
+    for q in asked:
+        monkeypatch.setattr(Q, "first_vector", lambda *_, q=q: q)
+        exact = {i for i, _ in sorted(((i, float(v @ q)) for i, v in rows), key=lambda x: (-x[1], x[0]))[:10]}
+        got = Q.pq_topk(spark, sf).collect()
+        assert len(got) == 10 and len(exact & {r["id"] for r in got}) >= 9
+    assert not any(called)
+
+
 def test_probes_follow_the_data(spark, tmp_path):
     v = units(3000, 32, 6)
     df = frame(spark, v)
