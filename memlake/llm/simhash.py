@@ -57,15 +57,15 @@ def fingerprint(text: bytes | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp`` (as a signed long) of every row; a null text counts as empty. Nothing is shuffled."""
+    """``doc_id, fp`` (as a signed long), ``key`` (a hash of the text) of every row; a null text counts as empty. Nothing is shuffled."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rebatched(batches):
             fp = np.array([fingerprint(t) for t in texts(b)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp), b.column("key")], names=["doc_id", "fp", "key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key")).mapInArrow(run, "doc_id long, fp long, key long")
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -204,6 +204,17 @@ def linked(fps: DataFrame) -> DataFrame:
     return filed.groupBy("task").applyInArrow(run, "u long, v long")
 
 
+def _rooted(docs: DataFrame) -> DataFrame:
+    """``doc_id, fp, key, root, component_id`` of every document; a component has one root, ids or not."""
+    own, _ = materialise(fingerprints(docs), "fingerprints")
+    each, _ = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    found, _ = materialise(components(linked(each.select("fp"))).withColumnRenamed("node", "fp"), "components")
+    rooted = each.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named, _ = materialise(rooted.join(least, "root").select("fp", "root", "component_id"), "named")
+    return own.join(named, "fp").select("doc_id", "fp", "key", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` of every document.
 
@@ -211,13 +222,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links reach, null only if no document of the component has an id. Null and empty texts
     have fingerprint 0, which links like any other. Repeated rows stay; other columns don't matter.
     """
-    own, _ = materialise(fingerprints(docs), "fingerprints")
-    each, _ = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    found, _ = materialise(components(linked(each.select("fp"))).withColumnRenamed("node", "fp"), "components")
-    rooted = each.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named, _ = materialise(rooted.join(least, "root").select("fp", "component_id"), "named")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return _rooted(docs).select("doc_id", "fp", "component_id")
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -226,14 +231,18 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without their near-duplicates: the one with the smallest doc_id of each component stays.
+    """The documents without their near-duplicates: of each component the one with the smallest doc_id stays.
 
-    A document without an id is a component's last choice; of rows that repeat the chosen id one stays.
+    A document without an id is a component's last choice; an id that stands on several texts is told
+    apart by them. Of rows that repeat the chosen id and text one stays.
     """
-    own = near_duplicates(docs)
-    chosen = own.where("doc_id <=> component_id").select("doc_id").distinct()
-    kept = docs.join(chosen.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    if own.where("doc_id <=> component_id").count() == chosen.count():
+    each = _rooted(docs).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
+    first = each.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "n")).alias("c"))
+    chosen, _ = materialise(first.select(F.col("c.doc_id").alias("_kept"), F.col("c.key").alias("_key"), F.col("c.n").alias("_n")), "chosen")
+    # a text has one component, so an id and a text are chosen for no other
+    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_key"))
+    kept = docs.join(chosen, same, "left_semi")
+    if not chosen.where("_n > 1").limit(1).count():
         return kept
-    w = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
-    return kept.withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row")
+    w = Window.partitionBy("doc_id", "_text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
+    return kept.withColumn("_text", F.xxhash64("text")).withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row", "_text")

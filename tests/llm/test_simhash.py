@@ -92,3 +92,25 @@ def test_links_join_all_that_link():
 def test_keep_one(spark):
     df = spark.createDataFrame([(5, "a b c d"), (3, "a b c d"), (3, "a b c d"), (9, "other words entirely here"), (None, "a b c d")], "doc_id long, text string")
     assert sorted(x.doc_id for x in simhash.keep_one(df).collect()) == [3, 9]
+
+
+def test_keep_one_keeps_one_of_each_component(spark):
+    def text(n):
+        r = random.Random(n)
+        return " ".join(f"w{r.randrange(10**6)}" for _ in range(60))
+
+    a, b, c, d, e, f, g = map(text, range(7))
+    rows = [
+        # unrelated documents without ids, one of them repeated, one a copy of a document with an id
+        (None, a, "x"), (None, b, "x"), (None, b, "y"), (1, c, "x"), (None, c, "x"), (None, None, "x"), (None, "", "x"),
+        # an id on two texts, the least of both components
+        (5, d, "x"), (5, e, "x"), (6, d, "x"), (6, e, "x"),
+        # the least of one component only
+        (8, f, "x"), (9, f, "x"), (9, g, "x"), (7, g, "x"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = sorted(map(tuple, simhash.keep_one(df).collect()), key=repr)
+    assert len({t or "" for _, t, _ in got}) == len(got) == 8
+    want = [(None, a, "x"), (None, b, "x"), (1, c, "x"), (5, d, "x"), (5, e, "x"), (8, f, "x"), (7, g, "x")]
+    assert [r for r in got if r[1]] == sorted(want, key=repr)
+    assert [r[0] for r in got if not r[1]] == [None]
