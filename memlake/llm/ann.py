@@ -10,6 +10,7 @@ on the original vectors. Heaps merge the tiles of a cell, and a ranking the cell
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterable, Iterator
 from itertools import islice
 
 import numpy as np
@@ -60,8 +61,19 @@ def _quantised(v: np.ndarray, norm: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return code.astype(np.int8).astype(kind), scale, np.sqrt(((u - back) ** 2).sum(1)), np.sqrt((back**2).sum(1))
 
 
+def _once(found: Iterable[tuple[float, int]]) -> Iterator[tuple[float, int]]:
+    """The first entry of each id."""
+    seen: set[int] = set()
+    for x in found:
+        if x[1] not in seen:
+            seen.add(x[1])
+            yield x
+
+
 def cell_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
-    """The k nearest of each query in a cell as (-score, id), in order."""
+    """The k nearest of each query in a cell as (-score, id), in order; of rows that repeat an id the nearest counts."""
+    order = np.argsort(cid, kind="stable")
+    cid, c = cid[order], c[order]
     qn, cn = _norms(q), _norms(c)
     q8, qs, qe, _ = _quantised(q, qn)
     c8, cs, ce, cl = _quantised(c, cn)
@@ -74,6 +86,10 @@ def cell_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
             bound = ce[None, cols] + qe[rows, None] * cl[None, cols] + SLACK
             other = qid[rows, None] != cid[None, cols]
             low = np.where(other, near - bound, -np.inf)
+            # a lower bound of each id, not of each row: copies don't push the k-th up
+            first = np.flatnonzero(np.diff(cid[cols], prepend=cid[j] - 1))
+            if len(first) < low.shape[1]:
+                low = np.maximum.reduceat(low, first, axis=1)
             kth = np.partition(low, -k, 1)[:, -k] if low.shape[1] >= k else np.full(len(low), -np.inf)
             best = np.array([-h[k - 1][0] if len(h) == k else -np.inf for h in heaps[i : i + TILE[0]]])
             a, b = np.nonzero((near + bound >= np.maximum(kth, best)[:, None]) & other)
@@ -86,7 +102,7 @@ def cell_top(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
             cut = np.flatnonzero(np.diff(a, prepend=-1))
             for s, e in zip(cut, [*cut[1:], len(a)], strict=True):
                 own = zip((-score[s:e]).tolist(), cid[b[s:e]].tolist(), strict=True)
-                heaps[a[s]] = list(islice(heapq.merge(heaps[a[s]], own), k))
+                heaps[a[s]] = list(islice(_once(heapq.merge(heaps[a[s]], own)), k))
     return heaps
 
 
@@ -98,7 +114,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "v
     rows without an id take no part; vectors of different length are never partners. Of
     rows that repeat an id the nearest counts. Other columns don't matter.
     """
-    q, c = usable(queries, id_col, vec_col), usable(vectors, id_col, vec_col)
+    # whole copies of a row would share a cell
+    q, c = usable(queries, id_col, vec_col).distinct(), usable(vectors, id_col, vec_col).distinct()
     nq, nc = q.count(), c.count()
     rows, cols = max(1, -(-nq // QUERY_ROWS)), max(1, -(-nc // ROWS))
     # ids fall on rows and columns by hash, so one repeated vector doesn't fill a cell

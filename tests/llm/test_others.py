@@ -115,6 +115,29 @@ def test_chat_trees(spark):
     assert len(chat.format_trees(long).select(chat.parse(chat.F.col("formatted")).alias("t")).first().t) == 40
 
 
+@pytest.mark.parametrize("tile", [(3, 7), (256, 4096)])
+def test_nearest_with_repeated_ids(spark, monkeypatch, tile):
+    monkeypatch.setattr(ann, "TILE", tile)
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(40, 8))
+    # copies of the nearest, whole and nearly so, fill more than k places
+    rows = [(i, v.tolist()) for i, v in enumerate(base)]
+    rows += [(100, base[0].tolist())] * 5 + [(100, (base[0] + rng.normal(scale=1e-3, size=8)).tolist()) for _ in range(9)]
+    rows += [(i % 20, rng.normal(size=8).tolist()) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {(r.query_id, r.rank): (r.vec_id, round(r.score, 9)) for r in ann.nearest(df.where("vec_id in (0, 7, 30)"), df).collect()}
+    want = {}
+    for q in (0, 7, 30):
+        best = {}
+        for i, v in rows:
+            for j, u in rows:
+                if j == q and i != q:
+                    best[i] = max(best.get(i, -2), float(np.dot(u, v) / np.sqrt(np.dot(u, u) * np.dot(v, v))))
+        for rank, (i, x) in enumerate(sorted(best.items(), key=lambda y: (-y[1], y[0]))[:5], 1):
+            want[q, rank] = (i, round(x, 9))
+    assert got == want
+
+
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><header><a href=/>Site</a></header><nav><ul><li><a>x</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div id=main7 class="post p12"><h1>Title &amp; more</h1><p>First <b>bold</b><br>line.<p>Second&nbsp;one
 <script>var x = "<p>no</p>";</script><div class="ad">Buy</div><form>f</form><div class=comments><p>reader</p></div></div><aside>side</aside><footer>&copy;</footer>"""
