@@ -38,6 +38,9 @@ DROP_WORDS = frozenset(
     "comment comments disqus replies respond newsletter subscribe subscription signup login pagination pager widget toolbar skip hidden".split()
 )
 
+#: Elements that hold the article with all else, or are it: words of their classes and ids say nothing about them.
+WHOLE = frozenset("html body main article".split())
+
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|$)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|$)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z!?][^>]*(?:>|$)|(?P<text>[^<]+|<)",
@@ -58,24 +61,27 @@ def _attributes(text: str) -> dict[str, str]:
     return {k.lower(): html_lib.unescape(v.strip("\"'")) for k, v in _ATTR.findall(text)}
 
 
-def _dropped(tag: str, attrs: dict[str, str]) -> bool:
+def _dropped(tag: str, attrs: dict[str, str], words: bool = True) -> bool:
     if tag in DROP_TAGS or "hidden" in attrs or attrs.get("aria-hidden") == "true" or attrs.get("role", "").lower() in DROP_ROLES:
         return True
     if "none" in attrs.get("style", "") and re.search(r"display\s*:\s*none", attrs["style"]):
         return True
-    return bool(DROP_WORDS.intersection(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())))
+    return words and tag not in WHOLE and bool(DROP_WORDS.intersection(_WORD.findall(f"{attrs.get('class', '')} {attrs.get('id', '')}".lower())))
 
 
 def _step(tag: str, attrs: dict[str, str]) -> str:
-    """A path's step: tag, classes and id, with numbers generalised."""
+    """A path's step: tag, classes and id, with numbers generalised and no slash."""
     marks = "".join("." + c for c in sorted(set(attrs.get("class", "").lower().split()))) + (f"#{attrs['id'].lower()}" if attrs.get("id") else "")
-    return tag + re.sub(r"\d+", "0", marks)
+    return tag + re.sub(r"\d+", "0", marks).replace("%", "%25").replace("/", "%2f")
 
 
 class Page:
-    """Containers (path, parent) and blocks (container, text, code points within links), in page order."""
+    """Containers (path, parent) and blocks (container, text, code points within links), in page order.
+
+    ``words``: elements whose class or id has one of DROP_WORDS are left out.
+    """
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, words: bool = True):
         self.containers: list[tuple[str, int]] = [("", -1)]
         self.blocks: list[tuple[int, str, int]] = []
         # open elements: tag, container, dropped, within a link
@@ -119,7 +125,7 @@ class Page:
             attrs = _attributes(m["attrs"]) if m["attrs"].strip() else {}
             _, at, gone, link = stack[-1]
             # a header right below the body is the site's; an article's own holds its title
-            gone = gone or _dropped(tag, attrs) or (tag == "header" and self.containers[at][0].rpartition("/")[2].partition(".")[0].partition("#")[0] in ("", "html", "body"))
+            gone = gone or _dropped(tag, attrs, words) or (tag == "header" and self.containers[at][0].rpartition("/")[2].partition(".")[0].partition("#")[0] in ("", "html", "body"))
             if tag in CONTAINERS and not gone:
                 self.containers.append((f"{self.containers[at][0]}/{_step(tag, attrs)}", at))
                 at = len(self.containers) - 1
@@ -170,8 +176,14 @@ class Page:
         return "\n".join(t for at, t, _ in self.blocks if inside[at]) if any(inside) else None
 
 
-def extract(source: str, path: str | None) -> str:
+def read(source: str) -> Page:
+    """The page; with what DROP_WORDS mark where nothing else has text."""
     page = Page(source)
+    return page if page.blocks else Page(source, words=False)
+
+
+def extract(source: str, path: str | None) -> str:
+    page = read(source)
     got = page.text(path) if path is not None else None
     return got if got else page.text(page.best()[0]) or ""
 
@@ -184,7 +196,7 @@ def votes(pages: DataFrame) -> DataFrame:
         for b in rebatched(batches):
             hosts, paths = [], []
             for url, source in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), strict=True):
-                path, score = Page(source or "").best()
+                path, score = read(source or "").best()
                 if score > 0:
                     hosts.append(host(url))
                     paths.append(path)

@@ -204,3 +204,19 @@ def test_toxicity(spark, labelled):
     assert {x.held_out == (zlib.crc32(str(x.doc_id).encode()) % 4 == 2) for x in got if x.doc_id is not None} == {True}
     assert toxicity.predictions(docs.limit(0), labels).count() == 0
     assert {x.score for x in toxicity.predictions(docs, labels.limit(0)).collect()} == {0.0}
+
+
+def test_html_of_ordinary_class_names(spark):
+    words = "Some words of the article itself. " * 6
+    text = " ".join(words.split())
+    slash = f'<html><body><main class="w-2/3 p%20"><div class="x"><p>{words}</p></div></main><div class="md:w-1/3"><p>Side.</p></div></body></html>'
+    assert html.extract(slash, None) == text
+    assert len({html._step("div", {"class": c}) for c in ("a/b", "a%2fb", "a%b", "ab")}) == 4
+    for tags in ('<body class="no-sidebar">%s</body>', '<body><article class="post has-comments">%s</article></body>', '<body id="header-menu"><main class="widget">%s</main></body>'):
+        assert html.extract("<html class=no-skip>" + tags % f"<p>{words}</p><div class=sidebar>Side.</div>", None) == text
+    # all text is below a marked element: better that than none
+    marked = f'<html><body><div class="page-with-sidebar"><p>{words}</p></div></body></html>'
+    assert html.extract(marked, None) == text and html.extract('<body><div class="sidebar"></div></body>', None) == ""
+    rows = [(i, "http://h.example/" + str(i), p) for i, p in enumerate([slash, slash, marked])] + [(3, "http://m.example/", marked)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r.text for r in html.main_text(df).orderBy("page_id").collect()] == [text] * 4
