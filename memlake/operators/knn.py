@@ -108,15 +108,29 @@ def batch_search(queries: DataFrame, rows: DataFrame, k: int = 10, metric: Metri
 
 
 def search_join(queries: DataFrame, rows: DataFrame, k: int, metric: Metric | str = Metric.COSINE) -> DataFrame:
-    """As :func:`batch_search`, by column functions alone: a stated query set, sent to all rows."""
+    """As :func:`batch_search`, by column functions alone: queries are sent to all rows, in blocks.
+
+    More queries than a block holds are dealt by hash to blocks of about three quarters of it.
+    """
     metric = Metric.parse(metric)
     n = queries.count()
-    if n > QUERY_BLOCK:
-        raise InvalidInput(f"{n} queries; batch_search takes them in blocks of {QUERY_BLOCK}")
-    q = F.broadcast(queries.select("qid", (V.normalize(V.doubles("vector")) if metric is Metric.COSINE else V.doubles("vector")).alias("_q")))
-    scored = rows.where(V.searchable(F.col("vector"))).select("id", "vector").crossJoin(q).select("qid", "id", V.score(metric, V.doubles("vector"), F.col("_q")).alias("score"))
+    asked = queries.select("qid", (V.normalize(V.doubles("vector")) if metric is Metric.COSINE else V.doubles("vector")).alias("_q"))
+    found = rows.where(V.searchable(F.col("vector"))).select("id", "vector")
     w = Window.partitionBy("qid").orderBy(V.order(metric), "id")
-    return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+    def one(q: DataFrame) -> DataFrame:
+        scored = found.crossJoin(F.broadcast(q)).select("qid", "id", V.score(metric, V.doubles("vector"), F.col("_q")).alias("score"))
+        return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
+
+    if n <= QUERY_BLOCK:
+        return one(asked)
+    blocks = -(-4 * n // (3 * QUERY_BLOCK))
+    # all rows of a query fall into one block, so each block is ranked for itself
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
+    out = one(asked.where(block == 0))
+    for b in range(1, blocks):
+        out = out.unionByName(one(asked.where(block == b)))
+    return out
 
 
 def merge_top(parts: list[DataFrame], k: int, metric: Metric | str = Metric.COSINE) -> DataFrame:

@@ -148,7 +148,8 @@ def knn_browser_l2(spark, sf):
 
 @query("knn_more_than_rows", f"SELECT count(*) AS n FROM {E}")
 def knn_more_than_rows(spark, sf):
-    return knn.search(vectors(spark, sf), first_vector(spark, sf), 1_000_000).agg(F.count("*").alias("n"))
+    rows = vectors(spark, sf)
+    return knn.search(rows, first_vector(spark, sf), rows.count() + 1).agg(F.count("*").alias("n"))
 
 
 @query("pending_merge_topk", _knn_sql(sql_dot("e.v", "q.v"), "DESC", q=UNIT_Q0))

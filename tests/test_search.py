@@ -61,6 +61,22 @@ def test_batch_equals_single(spark, metric, monkeypatch):
     assert knn.batch_search(asked.limit(0), df, 4, metric).count() == 0
 
 
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_join_takes_queries_in_blocks(spark, metric, monkeypatch):
+    v = units(90, 8, 2)
+    df = frame(spark, v).repartition(3)
+    asked = spark.createDataFrame([(i, v[i].tolist()) for i in range(0, 90, 5)], "qid long, vector array<float>")
+    whole = sorted(map(tuple, knn.search_join(asked, df, 4, metric).collect()))
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 5)
+    assert sorted(map(tuple, knn.search_join(asked, df, 4, metric).collect())) == whole and len(whole) == 72
+
+
+def test_more_than_rows_asks_for_all_rows(spark, tmp_path, monkeypatch):
+    sf, asked, search = embeddings(spark, tmp_path, units(30, 8)), [], knn.search
+    monkeypatch.setattr(knn, "search", lambda rows, q, k, *a: asked.append(k) or search(rows, q, k, *a))
+    assert Q.knn_more_than_rows(spark, sf).first()["n"] == 30 and asked == [31]
+
+
 def test_filters_in_search(spark):
     df = frame(spark, units(30, 4), {i: f'{{"c": "{"abc"[i % 3]}", "p": {i % 5}}}' for i in range(30)})
     q = [1.0, 0, 0, 0]
