@@ -1,16 +1,14 @@
-"""Substring deduplication by a relative Lempel-Ziv parse against the whole corpus.
+"""Substring deduplication by counting anchored windows of the whole corpus.
 
 Reference blocks. Every window of 35 words has an anchor: of the 8-word sequences in it
 the one with the least hash. Successive windows with the same anchor make a block, some 35
 to 62 words, that is indexed by its anchor. Equal windows have equal anchors, so a window
 can only repeat in blocks under the same anchor, and every block of the corpus is indexed.
 
-Parse. A document is factored greedily from left to right: a factor goes on as long as the
-next window is found in the index, and what lies between factors stays literal. Blocks
-that repeat as a whole need one lookup. At factor boundaries, where a block under a
-repeated anchor isn't repeated as a whole, the block's windows are checked one by one
-against those of the other blocks of that anchor. Factors are at least a window long and
-become the duplicate spans.
+Spans. There is no Lempel-Ziv parse: nothing is scanned from left to right, and a span has
+no source. Blocks that repeat as a whole need one lookup. Where a block under a repeated
+anchor isn't repeated as a whole, its windows are checked one by one against those of the
+other blocks of that anchor. The duplicate spans are the union of the repeated windows.
 
 Nothing is compared in pairs: blocks and windows are counted by hash (128 bits), so a
 passage that a third of all documents share is only a large count.
@@ -174,7 +172,7 @@ def repeated(docs: DataFrame) -> DataFrame:
 
 
 def factors(n_words: int, spans: list[dict]) -> np.ndarray:
-    """Words (True) inside factors, from the document's repeated windows."""
+    """Words (True) inside duplicate spans, from the document's repeated windows."""
     edge = np.zeros(n_words + 1, np.int64)
     if spans:
         first = np.array([s["first"] for s in spans])
