@@ -15,7 +15,6 @@ token counts. Files are memory-mapped when they are read.
 from __future__ import annotations
 
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,6 +23,7 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,18 +31,51 @@ from .common import local_path, rebatched, shared_dir, small_batches
 
 MAGIC = 0x4D4C544F4B310A
 #: Runs in either of a worker's two caches; bounds memory, not results.
-CACHE = 600_000
-#: Marks that follow a word most often.
-MARKS = ",.;:!?"
-#: Unicode white space: a run of it and the non-space run after it are encoded alike wherever they stand.
-SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+CACHE = 300_000
+#: Bytes of text that are encoded together, about: a run that is in it often is looked up once.
+TOGETHER = 8 << 20
+#: Text of a part, about, as stored in the input's files.
+PART_BYTES = 128 << 20
+#: White space beyond ASCII, in UTF-8: by the first byte, the rest.
+WIDE_SPACE = {0xC2: (b"\x85", b"\xa0"), 0xE1: (b"\x9a\x80",), 0xE2: (*(b"\x80" + bytes([x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\x81\x9f"), 0xE3: (b"\x80\x80",)}
+#: The pieces that byte-level files of this kind split a text into; no token crosses their ends.
+PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: From here on Unicode tables may differ by version: such runs go to the library whole.
+SURE = "\u0250"
+
+_ASCII_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+
+
+def run_starts(raw: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Where runs start: at white space after anything else, and where (non-empty) documents do.
+
+    A run of white space and the rest up to the next is encoded alike wherever it stands.
+    ``raw``: UTF-8 bytes of all documents, ``docs``: their first bytes and the end.
+    """
+    space = _ASCII_SPACE[raw]
+    if len(raw) and raw.max() >= 0x80:
+        for first, rests in WIDE_SPACE.items():
+            at = np.flatnonzero(raw == first)
+            for rest in rests if len(at) else ():
+                found = at
+                for k, x in enumerate(rest, 1):
+                    found = found[found + k < len(raw)]
+                    found = found[raw[found + k] == x]
+                for k in range(len(rest) + 1):
+                    space[found + k] = True
+    start = np.empty(len(raw), bool)
+    start[:1] = True
+    np.greater(space[1:], space[:-1], out=start[1:])
+    start[docs[:-1][np.diff(docs) > 0]] = True
+    return np.flatnonzero(start)
 
 
 class RunEncoder:
     """The tokenizers library behind a cache of runs (white space and the text up to the next).
 
     For byte-level files that split by their usual pattern no token crosses the end of a run,
-    so a text's ids are those of its runs, end to end.
+    nor that of a piece in it, so a text's ids are those of its runs, end to end, and words
+    that differ in the marks after them are encoded once.
     """
 
     def __init__(self, path: str):
@@ -53,35 +86,71 @@ class RunEncoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
-        self.runs = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+").findall
+        self.pieces = regex.compile(PIECES).findall
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.last: dict[str, bytes] = {}
 
+    def _whole(self, run: str) -> bool:
+        """Whether the library has to see the run as it is."""
+        return not (run.isascii() or max(run) < SURE) or any(t in run for t in self.added)
+
     def _learn(self, runs: list[str]) -> None:
         cache, last = self.cache, self.last
         if last:
             cache.update((r, last[r]) for r in runs if r in last)
             runs = [r for r in runs if r not in cache]
-        # letters and then a mark are two of the pattern's pieces, so each is encoded once
-        cores = [r[:-1] if r[-1] in MARKS and r[:-1].lstrip(" ").isalpha() and r[1:-1].isalpha() else None for r in runs]
-        new = [r for r, c in zip(runs, cores, strict=True) if c is None]
-        new += {c for c in cores if c is not None and c not in cache}.difference(new)
-        marks = {m: np.array(self.tok.encode(m, add_special_tokens=False).ids, self.kind).tobytes() for m in MARKS}
-        for r, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            cache[r] = np.array(e.ids, self.kind).tobytes()
-        cache.update((r, cache[c] + marks[r[-1]]) for r, c in zip(runs, cores, strict=True) if c is not None)
-
-    def encode_all(self, docs: list[str]) -> list[bytes]:
+        single, split = [], []
+        for r in runs:
+            if r[-1].isalpha() and (r[1:].isalpha() and (r[0] == " " or r[0].isalpha()) or len(r) == 1) or self._whole(r):
+                single.append(r)
+            else:
+                split.append((r, self.pieces(r)))
+        single += {x for _, p in split for x in p if x not in cache}.difference(single)
+        ids = [e.ids for e in self.tok.encode_batch_fast(single, add_special_tokens=False)]
+        size = self.kind.itemsize
+        ends = list(accumulate(size * len(x) for x in ids))
+        flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
+        cache.update((r, flat[a:b]) for r, a, b in zip(single, [0, *ends], ends, strict=False))
+        for r, p in split:
+            cache[r] = b"".join([cache[x] for x in p])
+
+    def encode_column(self, col: pa.Array) -> list[memoryview]:
+        """Ids of each text (null: empty) of a string column, as bytes."""
+        col = col.fill_null("")
+        first = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int32)
+        raw = np.frombuffer(col.buffers()[2] or b"", np.uint8)[first[0] : first[-1]]
+        docs = (first - first[0]).astype(np.int64)
+        start = run_starts(raw, docs)
+        edges = np.append(start, len(raw)).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = runs.dictionary.to_pylist()
         if len(self.cache) > CACHE:
             self.cache, self.last = {}, self.cache
-        split = [self.runs(t) for t in docs]
-        runs = list(chain.from_iterable(split))
-        got = list(map(self.cache.get, runs))
-        if new := {r for r, v in zip(runs, got, strict=True) if v is None}:
-            self._learn(list(new))
-            got = list(map(self.cache.__getitem__, runs))
-        ends = list(accumulate(map(len, split)))
-        return [b"".join(got[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
+        got = list(map(self.cache.get, distinct))
+        new = [r for r, v in zip(distinct, got, strict=True) if v is None]
+        if new:
+            self._learn(new)
+            got = [self.cache[r] if v is None else v for r, v in zip(distinct, got, strict=True)]
+        taken = pa.array(got, pa.large_binary()).take(runs.indices)
+        at = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
+        ids = memoryview(taken.buffers()[2] or b"") if len(taken) else memoryview(b"")
+        ends = at[np.searchsorted(start, docs)].tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], size: int = TOGETHER) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ``size`` bytes: small ones together, large ones cut."""
+    held: list[pa.RecordBatch] = []
+    total = 0
+    for b in rebatched(batches, size):
+        if held and total + b.nbytes > size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+        held.append(b)
+        total += b.nbytes
+    if held:
+        yield pa.concat_batches(held)
 
 
 @lru_cache(maxsize=2)
@@ -89,6 +158,14 @@ def load(path: str) -> RunEncoder:
     return RunEncoder(path)
 
 
+def _parts(docs: DataFrame) -> int:
+    """Parts of about PART_BYTES, by the optimizer's size of the input's files; by a scan where it knows none."""
+    size = int(str(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size >= 1 << 50:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return -(-size // PART_BYTES)
+
+
 def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, parts: int | None = None) -> list[tuple[str, int, int, int]]:
     """Encode every document and write its ids and ``end_id``; (part, base, documents, tokens) of each part.
 
@@ -101,7 +178,7 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, parts:
     spark = docs.sparkSession
     small_batches(spark)
     target = local_path(folder)
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or max(int(spark.conf.get("spark.sql.shuffle.partitions")), _parts(docs))
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # the hash keeps one repeated id from filling a range of its own
     rows = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
@@ -116,11 +193,11 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, parts:
         nulls: list[np.ndarray] = []
         sizes: list[int] = []
         with open(tmp + ".bin", "wb") as out:
-            for b in rebatched(batches):
+            for b in gathered(batches):
                 col = b.column("doc_id")
                 ids.append(col.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 nulls.append(col.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
-                for x in enc.encode_all(b.column("text").to_pylist()):
+                for x in enc.encode_column(b.column("text")):
                     out.write(x)
                     out.write(end)
                     sizes.append(len(x) // enc.kind.itemsize + 1)
