@@ -69,6 +69,37 @@ def local_path(path: str) -> str:
     return path
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Names like the wanted ones that are no columns of ``df``, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: A key is hot if it holds more than this share of all rows (and this many): so there are few of them.
+HOT_SHARE, HOT_ROWS = 1e-4, 1000
+
+
+def join_back(rows: DataFrame, counted: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``counted`` (one row a key, its number of rows in ``c``) for their keys.
+
+    ``how``: inner, or left to keep rows without.
+
+    Rows of hot keys meet theirs by broadcast, 10,000 rows at most whatever the size, and stay
+    where they are; so no task has to take a key that holds a large share of all rows. Both
+    sides should be tables that were written, as they are read twice.
+    """
+    limit = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = F.broadcast(counted.where(F.col("c") > limit))
+    cold = rows.join(F.broadcast(counted.where(F.col("c") > limit).select(*keys)), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(cold.join(counted.where(F.col("c") <= limit), keys, how))
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes | None]:
     """UTF-8 bytes of each text of a batch, without decoding them."""
     col = batch.column(name).cast(pa.binary())

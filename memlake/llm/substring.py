@@ -1,17 +1,25 @@
-"""Substring deduplication by counting anchored windows of the whole corpus.
+"""Substring deduplication by a relative Lempel-Ziv parse of the whole corpus.
 
 Reference blocks. Every window of 35 words has an anchor: of the 8-word sequences in it
 the one with the least hash. Successive windows with the same anchor make a block, some 35
 to 62 words, that is indexed by its anchor. Equal windows have equal anchors, so a window
 can only repeat in blocks under the same anchor, and every block of the corpus is indexed.
 
-Spans. There is no Lempel-Ziv parse: nothing is scanned from left to right, and a span has
-no source. Blocks that repeat as a whole need one lookup. Where a block under a repeated
-anchor isn't repeated as a whole, its windows are checked one by one against those of the
-other blocks of that anchor. The duplicate spans are the union of the repeated windows.
-
-Nothing is compared in pairs: blocks and windows are counted by hash (128 bits), so a
-passage that a third of all documents share is only a large count.
+Matches. Every block that repeats as a whole gets a reference: the first place that holds it,
+in the order of a hash of the document, or for that place itself the last. Where a block under a repeated
+anchor isn't repeated as a whole, its windows are looked up one by one among those of the
+other blocks of that anchor, and get references likewise.
+
+Factors. A document is parsed from left to right. At a window with a reference, matches on
+the same diagonal of the same source join into one, and the longest becomes a factor (first
+word, words, source document, first word there). At the factor's end the next window, which
+crosses it, is checked in turn: if it has a reference the next factor starts there. Words
+in no factor are literals. Factors hold 35 words at least, and all repeated windows lie in
+them, so the duplicate spans are the factors' union.
+
+Nothing is compared in pairs: blocks and windows are looked up by two 64-bit hashes, so a
+passage that a third of all documents share is only a large count. Two different windows
+agree in both with a chance of some n * n / 2**129: 1e-13 for the 1e13 windows of 100 TB.
 """
 
 from __future__ import annotations
@@ -21,11 +29,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
-from .common import materialise, rebatched, release, small_batches, texts
+from .common import free_names, join_back, materialise, rebatched, release, small_batches, texts
 
 #: Words of a window, and of an anchor.
 WINDOW, ANCHOR = 35, 8
@@ -95,8 +103,8 @@ def _rows(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
         yield i, (t or b"").split()
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64("text"))
+def _keyed(docs: DataFrame, name: str = "_key") -> DataFrame:
+    return docs.withColumn(name, F.xxhash64("text"))
 
 
 def index(docs: DataFrame) -> DataFrame:
@@ -142,72 +150,130 @@ def windows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "a long, b long, doc_id long, key long, first int")
 
 
-def repeated(docs: DataFrame) -> DataFrame:
-    """``doc_id, key, spans``: of each document with repeated windows, these as (first, n) runs of windows.
+def _place() -> Column:
+    """Orders places by document, so that neighbouring blocks shared by the same documents get the same source."""
+    low = 0xFFFFFF
+    return F.xxhash64("doc_id", "key").bitwiseAND(F.lit(~low)).bitwiseOR(F.col("first").cast("long").bitwiseAND(F.lit(low)))
+
+
+def _references(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """For each key its rows ``c`` and two references: its first and its last place."""
+    place = _place()
+    out = [F.count("*").alias("c")]
+    for name, pick, by in (("lo", F.min, F.min_by), ("hi", F.max, F.max_by)):
+        out += [pick(place).alias(name), by("doc_id", place).alias(f"{name}_id"), by("first", place).alias(f"{name}_first")]
+    return rows.groupBy(*keys).agg(*out)
+
+
+def _sourced(rows: DataFrame, n: Column) -> DataFrame:
+    """Matches: ``doc_id, key, first, n, source, source_first``; a place's reference is another place."""
+    own = F.col("lo") == _place()
+    source, at = (F.when(own, F.col(f"hi_{x}")).otherwise(F.col(f"lo_{x}")) for x in ("id", "first"))
+    return rows.select("doc_id", "key", "first", n.alias("n"), source.alias("source"), at.alias("source_first"))
+
+
+def matches(docs: DataFrame) -> DataFrame:
+    """``doc_id, key, matches``: of each document with repeated windows, these with their references,
+    as an array of (first, n, source, source_first): n windows from the first on.
 
     ``key`` is the text's hash; rows that repeat a document share one row here.
     """
     spark = docs.sparkSession
     small_batches(spark)
     blocks, p0 = materialise(index(docs), "blocks")
-    anchors = blocks.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("block") != F.max("block")).alias("mixed")).where("c > 1").select("anchor", "mixed")
-    some, p1 = materialise(blocks.join(anchors, "anchor"), "repeated-anchors")
-    release(spark, p0)
-    place = F.struct("doc_id", "key", "first")
-    count = some.groupBy("anchor", "block").agg(F.count("*").alias("c"), F.min(place).alias("example"))
-    found = some.join(count, ["anchor", "block"]).select("doc_id", "key", "first", "n", (F.col("c") > 1).alias("whole"), ((F.col("c") == 1) | (F.col("mixed") & F.col("example").eqNullSafe(place))).alias("check"))
-    found, p2 = materialise(found, "found-blocks")
-    release(spark, p1)
-    check = found.where("check").groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_of")).agg(F.collect_set(F.struct("first", "n")).alias("check"))
+    total = blocks.count()
+    anchors = blocks.groupBy("anchor").agg(F.count("*").alias("c"), (F.min("block") != F.max("block")).alias("mixed")).where("c > 1")
+    anchors, p1 = materialise(anchors, "repeated-anchors")
+    some, p2 = materialise(join_back(blocks, anchors, ["anchor"], total).drop("c"), "blocks-of-repeated-anchors")
+    release(spark, p0, p1)
+    counted, p3 = materialise(_references(some, ["anchor", "block"]).where("c > 1"), "repeated-blocks")
+    marked, p4 = materialise(join_back(some, counted, ["anchor", "block"], total, "left"), "marked-blocks")
+    whole = marked.where("c is not null")
+    # of blocks that repeat as a whole, one is enough to tell whether other blocks hold its windows
+    check = marked.where(F.col("c").isNull() | (F.col("mixed") & (F.col("lo") == _place())))
+    check = check.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_of")).agg(F.collect_set(F.struct("first", "n")).alias("check"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of"))
     own = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null"))
-    single, p3 = materialise(windows(own.join(check, same).select("doc_id", "_key", "text", "check")), "windows")
-    release(spark)
-    twice = single.groupBy("a", "b").count().where("count > 1").select("a", "b")
-    more = single.join(twice, ["a", "b"]).select("doc_id", "key", "first", F.lit(1).alias("n"))
-    spans = found.where("whole").select("doc_id", "key", "first", "n").unionByName(more)
-    spans, _ = materialise(spans.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n")).alias("spans")), "spans")
+    looked, p5 = materialise(windows(own.join(check, same).select("doc_id", "_key", "text", "check")), "windows")
     release(spark, p2, p3)
-    return spans
-
-
-def factors(n_words: int, spans: list[dict]) -> np.ndarray:
-    """Words (True) inside duplicate spans, from the document's repeated windows."""
-    edge = np.zeros(n_words + 1, np.int64)
-    if spans:
-        first = np.array([s["first"] for s in spans])
-        np.add.at(edge, first, 1)
-        np.add.at(edge, first + np.array([s["n"] for s in spans]) + WINDOW - 1, -1)
-    return np.cumsum(edge)[:n_words] > 0
+    twice, p6 = materialise(_references(looked, ["a", "b"]).where("c > 1"), "repeated-windows")
+    more = _sourced(join_back(looked, twice, ["a", "b"], looked.count()), F.lit(1))
+    found = _sourced(whole, F.col("n")).unionByName(more)
+    found, _ = materialise(found.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "n", "source", "source_first")).alias("matches")), "matches")
+    release(spark, p4, p5, p6)
+    return found
+
+
+def parse(found: list[dict]) -> list[tuple[int, int, int | None, int]]:
+    """Factors (first word, words, source, first word there) of a document from its matches, left to right."""
+    joined: list[list] = []  # first window, end, source, diagonal
+    last: dict[tuple, list] = {}
+    for m in sorted(found, key=lambda m: m["first"]):
+        line = (m["source"], m["source_first"] - m["first"])
+        if (x := last.get(line)) is not None and m["first"] <= x[1]:
+            x[1] = max(x[1], m["first"] + m["n"])
+        else:
+            last[line] = x = [m["first"], m["first"] + m["n"], *line]
+            joined.append(x)
+    out = []
+    at = k = 0
+    reach: list | None = None
+    while True:
+        # of the matches that hold the next window, the one that goes farthest
+        while k < len(joined) and joined[k][0] <= at:
+            if reach is None or joined[k][1] > reach[1]:
+                reach = joined[k]
+            k += 1
+        if reach is not None and reach[1] > at:
+            out.append((at, reach[1] - at + WINDOW - 1, reach[2], at + reach[3]))
+            at = reach[1]  # the window that crosses the factor's end
+        elif k < len(joined):
+            at = joined[k][0]
+        else:
+            return out
 
 
 def deduplicate(docs: DataFrame, column: str = "kept") -> DataFrame:
-    """Add ``n_words``, ``n_removed`` and the kept text (``column``; words joined by one space) to every row.
+    """Add ``n_words``, ``n_removed``, the kept text (``column``; words joined by one space) and the
+    ``factors`` (array of first, words, source, source_first; words count from 0) to every row.
 
     Words are runs of anything but ASCII white space. A word is removed if a window of 35
     words that covers it also starts anywhere else, in the same document too. Null texts
-    have no words, texts of under 35 words lose none; repeated rows count as copies of each
-    other. Columns of these names are replaced; others stay.
+    have no words, texts of under 35 words lose none; rows that repeat an id and a text count
+    as copies of each other, and so do rows without an id. A factor's source is a doc_id,
+    null if that place has none. Columns of these names are replaced; others stay, whatever
+    their names. No rows in, no rows out.
     """
-    spans = repeated(docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_of").withColumnRenamed("spans", "_spans")
-    docs = docs.drop("n_words", "n_removed", column) if column != "text" else docs.drop("n_words", "n_removed")
+    id_, of, spans, key = free_names(docs, "_id", "_of", "_matches", "_key")
+    found = matches(docs).toDF(id_, of, spans)
+    new = ("n_words", "n_removed", "factors")
+    docs = docs.drop(*[c for c in new if c != "text"], *([column] if column != "text" else []))
     own = [c for c in docs.columns if c != column]
-    joined = _keyed(docs).join(spans, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_of")), "left").select(*docs.columns, "_spans")
+    joined = _keyed(docs, key).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(of)), "left").select(*docs.columns, spans)
     schema = StructType([docs.schema[c] for c in own]).add(column, "string").add("n_words", "long").add("n_removed", "long")
+    one = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("source", pa.int64()), ("source_first", pa.int32())])
+    factor = StructType().add("first", "integer").add("words", "integer").add("source", "long").add("source_first", "integer")
+    schema = schema.add("factors", ArrayType(factor))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rebatched(batches):
-            spans_of = b.column("_spans").to_pylist()
-            kept, n, gone = [], [], []
+            spans_of = b.column(spans).to_pylist()
+            kept, n, gone, parsed = [], [], [], []
             for i, words in _rows(b):
-                rest = words
-                if spans_of[i]:
-                    rest = [w for w, x in zip(words, factors(len(words), spans_of[i]).tolist(), strict=True) if not x]
+                rest, factors = words, parse(spans_of[i] or [])
+                if factors:
+                    rest, end = [], 0
+                    for first, size, _, _ in factors:
+                        rest += words[end:first]
+                        end = max(end, first + size)
+                    rest += words[end:]
                 kept.append(b" ".join(rest))
                 n.append(len(words))
                 gone.append(len(words) - len(rest))
+                parsed.append([dict(zip(("first", "words", "source", "source_first"), f, strict=True)) for f in factors])
             cols = [b.column(c) for c in own]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=[*own, column, "n_words", "n_removed"])
+            cols += [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(parsed, pa.list_(one))]
+            yield pa.RecordBatch.from_arrays(cols, names=[*own, column, *new])
 
     return joined.mapInArrow(run, schema)
 

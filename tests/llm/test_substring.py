@@ -51,6 +51,45 @@ def test_matches_brute_force(spark):
     assert sum(x[2] for x in want) > 500
 
 
+def test_factors_can_be_read_from_their_sources(spark):
+    rows = [(i, t) for i, (_, t) in enumerate(cases())]
+    words = {i: WORD.findall(t or "") for i, t in rows}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    n, far = 0, 0
+    for x in substring.deduplicate(df).collect():
+        gone, own = set(), words[x.doc_id]
+        for f in x.factors:
+            assert f.words >= 35 and (f.source, f.source_first) != (x.doc_id, f.first)
+            assert own[f.first : f.first + f.words] == words[f.source][f.source_first : f.source_first + f.words]
+            gone |= set(range(f.first, f.first + f.words))
+            n, far = n + 1, max(far, f.words)
+        assert all(a.first + a.words - 34 <= b.first for a, b in zip(x.factors, x.factors[1:]))
+        assert x.kept == " ".join(w for i, w in enumerate(own) if i not in gone) and x.n_removed == len(gone)
+    assert n > 50 and far >= 150  # factors go on over the ends of blocks
+
+
+def test_parse():
+    m = lambda first, n, source, at: {"first": first, "n": n, "source": source, "source_first": at}
+    assert substring.parse([]) == []
+    # one diagonal joins, the farthest wins, the window over a factor's end is looked up again
+    found = [m(0, 20, 1, 100), m(20, 10, 1, 120), m(3, 5, 2, 0), m(30, 4, 3, 7), m(50, 1, None, 9)]
+    assert substring.parse(found) == [(0, 64, 1, 100), (30, 38, 3, 7), (50, 35, None, 9)]
+
+
+def test_hot_keys(spark, monkeypatch):
+    from memlake.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    test_matches_brute_force(spark)
+
+
+def test_clashing_columns_and_repeated_rows(spark):
+    t = " ".join(map(str, range(50)))
+    df = spark.createDataFrame([(1, t, 7, 8, 9, 10), (1, t, 7, 8, 9, 10), (None, "a " * 300, 1, 2, 3, 4)], "doc_id long, text string, _id int, _of int, _key int, _matches int")
+    got = sorted(substring.deduplicate(df).collect(), key=lambda x: x.n_words)
+    assert [(x.n_removed, x._id, x._of, x._key, x._matches) for x in got] == [(50, 7, 8, 9, 10), (50, 7, 8, 9, 10), (300, 1, 2, 3, 4)]
+
+
 def test_empty(spark):
     assert run(spark, []) == []
 
