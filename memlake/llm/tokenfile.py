@@ -80,38 +80,41 @@ class RunEncoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
+        # letters, with a space before them or not, are a piece: nothing to split
+        self.of_piece = Tokenizer.from_str(self.tok.to_str())
+        self.of_piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.pieces = regex.compile(PIECES).findall
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.last: dict[str, bytes] = {}
 
-    def _whole(self, run: str) -> bool:
-        """Whether the library has to see the run as it is."""
-        return not (run.isascii() or max(run) < SURE) or any(t in run for t in self.added)
-
     def _learn(self, runs: list[str]) -> None:
         cache, last = self.cache, self.last
         if last:
             cache.update((r, last[r]) for r in runs if r in last)
             runs = [r for r in runs if r not in cache]
-        single, split = [], []
+        letters, whole, split = [], [], []
         for r in runs:
-            if r[-1].isalpha() and (r[1:].isalpha() and (r[0] == " " or r[0].isalpha()) or len(r) == 1) or self._whole(r):
-                single.append(r)
+            if (r[1:] if r[0] == " " else r).isalpha():
+                letters.append(r)
+            elif not (r.isascii() or max(r) < SURE) or any(t in r for t in self.added):
+                whole.append(r)
             else:
                 split.append((r, self.pieces(r)))
-        single += {x for _, p in split for x in p if x not in cache}.difference(single)
-        ids = [e.ids for e in self.tok.encode_batch_fast(single, add_special_tokens=False)]
+        single = {x for _, p in split for x in p if x not in cache}
+        letters += {x for x in single if x[-1].isalpha() and x[0] != "'"}.difference(letters)
+        whole += single.difference(letters)
+        ids = [e.ids for t, x in ((self.of_piece, letters), (self.tok, whole)) for e in t.encode_batch_fast(x, add_special_tokens=False)]
         size = self.kind.itemsize
         ends = list(accumulate(size * len(x) for x in ids))
         flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
-        cache.update((r, flat[a:b]) for r, a, b in zip(single, [0, *ends], ends, strict=False))
+        cache.update((r, flat[a:b]) for r, a, b in zip([*letters, *whole], [0, *ends], ends, strict=False))
         for r, p in split:
             cache[r] = b"".join([cache[x] for x in p])
 
