@@ -33,10 +33,16 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: Intermediate tables that this session wrote and that nobody has deleted yet.
+_written: list[str] = []
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path below the cluster's shared folder (a local one only if none is named)."""
+    """A fresh path below the cluster's shared folder; in local mode, where none is named, below a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or ""
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = os.path.join(tempfile.gettempdir(), "memlake-checkpoint")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -46,16 +52,31 @@ def materialise(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder, cutting its lineage; the table and its path."""
     spark = df.sparkSession
     path = shared_dir(spark, label)
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def written() -> list[str]:
+    """Paths of the intermediate tables that are still there."""
+    return list(_written)
+
+
+def cleanup(spark: SparkSession, keep: Iterable[str] = ()) -> None:
+    """Delete all intermediate tables of this session but those in ``keep``: to be called when
+    results have been written, as results are read from them."""
+    keep = set(keep)
+    release(spark, *[p for p in _written if p not in keep])
+
+
 def release(spark: SparkSession, *paths: str) -> None:
     """Delete tables that nothing reads any more and let Spark drop unused shuffle files."""
     jvm = spark.sparkContext._jvm
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hp, True)
+        if p in _written:
+            _written.remove(p)
     gc.collect()
     jvm.System.gc()
 
@@ -115,19 +136,15 @@ def rebatched(batches: Iterable[pa.RecordBatch], max_bytes: int = 32 << 20) -> I
             yield b.slice(i, step)
 
 
-def class_sample(rows: DataFrame, kind: str, h: str, limit: int, most_classes: int = 1000) -> DataFrame:
-    """Up to ``limit`` rows of each class, those with the smallest signed 64-bit hash ``h``.
+def class_sample(rows: DataFrame, kind: str, h: str, limit: int) -> DataFrame:
+    """Up to ``limit`` rows of each class, those with the smallest hash ``h``; of rows that share class and hash one.
 
-    A class's rows are first cut, where they are, to a hash range that holds about twice the
-    limit, so that only these few are moved and ranked. Ties are broken by the other columns.
+    The smallest hashes are found on these two columns alone, first within each partition, so
+    that no class has to be gathered and no other column moves before the rows are chosen.
+    There may be any number of classes.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(kind).count().limit(most_classes + 1).collect()}
-    if len(counts) > most_classes:
-        raise ValueError(f"more than {most_classes} classes in {kind}")
-    near = F.lit(False)
-    for k, n in counts.items():
-        share = min(1.0, (2 * limit + 50) / n)
-        bound = min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))
-        near = near | (F.col(kind).eqNullSafe(F.lit(k)) & (F.col(h) <= F.lit(bound)))
-    w = Window.partitionBy(kind).orderBy(h, *[c for c in rows.columns if c not in (kind, h)])
-    return rows.where(near).withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= limit).drop("_rank")
+    w = Window.partitionBy(kind).orderBy(h)
+    (rank,) = free_names(rows, "_rank")
+    least = rows.select(kind, h).withColumn(rank, F.dense_rank().over(w)).where(F.col(rank) <= limit).select(kind, h).distinct()
+    least, _ = materialise(least, "class-sample")
+    return rows.join(least, [kind, h], "left_semi").dropDuplicates([kind, h])

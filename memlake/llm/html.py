@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import rebatched, small_batches
+from .common import free_names, materialise, rebatched, small_batches
 
 #: Winning paths of so many hosts at most are broadcast (some 10 MB); beyond, pages are joined by host.
 BROADCAST_HOSTS = 50_000
@@ -217,22 +217,21 @@ def main_text(pages: DataFrame) -> DataFrame:
     A null or empty page has an empty text; a null URL counts as a host without a name.
     Columns named text and n_chars are replaced; other columns and repeated rows stay.
     """
-    from .common import materialise
-
     small_batches(pages.sparkSession)
     pages = pages.drop("text", "n_chars")
     won, _ = materialise(winners(pages), "html-winners")
     own = list(pages.columns)
     name = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"(?i)^(?:[a-z][a-z0-9+.\-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    side = won.select(F.col("host").alias("_host"), F.col("path").alias("_path"))
+    at, way = free_names(pages, "_host", "_path")
+    side = won.select(F.col("host").alias(at), F.col("path").alias(way))
     if won.count() <= BROADCAST_HOSTS:
         side = F.broadcast(side)
-    joined = pages.withColumn("_host", name).join(side, "_host", "left").select(*own, "_path")
+    joined = pages.withColumn(at, name).join(side, at, "left").select(*own, way)
     schema = StructType(list(pages.schema.fields)).add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rebatched(batches):
-            got = [extract(h or "", p) for h, p in zip(b.column("html").to_pylist(), b.column("_path").to_pylist(), strict=True)]
+            got = [extract(h or "", p) for h, p in zip(b.column("html").to_pylist(), b.column(way).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], pa.array(got, pa.string()), pa.array(map(len, got), pa.int64())], names=[*own, "text", "n_chars"])
 
     return joined.mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, rebatched, small_batches, texts
+from .common import free_names, materialise, rebatched, small_batches, texts
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 3
@@ -234,15 +234,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without their near-duplicates: of each component the one with the smallest doc_id stays.
 
     A document without an id is a component's last choice; an id that stands on several texts is told
-    apart by them. Of rows that repeat the chosen id and text one stays.
+    apart by them. Of rows that repeat the chosen id and text one stays. Null and empty texts are
+    near-duplicates of each other. All columns stay, whatever their names; no rows in, no rows out.
     """
     each = _rooted(docs).groupBy("root", "doc_id", "key").agg(F.count("*").alias("n"))
     first = each.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key", "n")).alias("c"))
-    chosen, _ = materialise(first.select(F.col("c.doc_id").alias("_kept"), F.col("c.key").alias("_key"), F.col("c.n").alias("_n")), "chosen")
+    id_, key, times, row = free_names(docs, "_kept", "_key", "_times", "_row")
+    chosen, _ = materialise(first.select(F.col("c.doc_id").alias(id_), F.col("c.key").alias(key), F.col("c.n").alias(times)), "chosen")
     # a text has one component, so an id and a text are chosen for no other
-    same = F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.xxhash64("text") == F.col("_key"))
+    same = F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key))
     kept = docs.join(chosen, same, "left_semi")
-    if not chosen.where("_n > 1").limit(1).count():
+    if not chosen.where(F.col(times) > 1).limit(1).count():
         return kept
-    w = Window.partitionBy("doc_id", "_text").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
-    return kept.withColumn("_text", F.xxhash64("text")).withColumn("_row", F.row_number().over(w)).where("_row = 1").drop("_row", "_text")
+    w = Window.partitionBy("doc_id", key).orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)])
+    return kept.withColumn(key, F.xxhash64("text")).withColumn(row, F.row_number().over(w)).where(F.col(row) == 1).drop(row, key)

@@ -233,7 +233,7 @@ def parse(found: list[dict]) -> list[tuple[int, int, int | None, int]]:
             return out
 
 
-def deduplicate(docs: DataFrame, column: str = "kept") -> DataFrame:
+def deduplicate(docs: DataFrame, column: str = "kept", new: tuple[str, str, str] = ("n_words", "n_removed", "factors")) -> DataFrame:
     """Add ``n_words``, ``n_removed``, the kept text (``column``; words joined by one space) and the
     ``factors`` (array of first, words, source, source_first; words count from 0) to every row.
 
@@ -241,19 +241,18 @@ def deduplicate(docs: DataFrame, column: str = "kept") -> DataFrame:
     words that covers it also starts anywhere else, in the same document too. Null texts
     have no words, texts of under 35 words lose none; rows that repeat an id and a text count
     as copies of each other, and so do rows without an id. A factor's source is a doc_id,
-    null if that place has none. Columns of these names are replaced; others stay, whatever
-    their names. No rows in, no rows out.
+    null if that place has none. Columns of these names (``new`` gives others) are replaced;
+    all others stay, whatever their names. No rows in, no rows out.
     """
     id_, of, spans, key = free_names(docs, "_id", "_of", "_matches", "_key")
     found = matches(docs).toDF(id_, of, spans)
-    new = ("n_words", "n_removed", "factors")
     docs = docs.drop(*[c for c in new if c != "text"], *([column] if column != "text" else []))
     own = [c for c in docs.columns if c != column]
     joined = _keyed(docs, key).join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(id_)) & (F.col(key) == F.col(of)), "left").select(*docs.columns, spans)
-    schema = StructType([docs.schema[c] for c in own]).add(column, "string").add("n_words", "long").add("n_removed", "long")
+    schema = StructType([docs.schema[c] for c in own]).add(column, "string").add(new[0], "long").add(new[1], "long")
     one = pa.struct([("first", pa.int32()), ("words", pa.int32()), ("source", pa.int64()), ("source_first", pa.int32())])
     factor = StructType().add("first", "integer").add("words", "integer").add("source", "long").add("source_first", "integer")
-    schema = schema.add("factors", ArrayType(factor))
+    schema = schema.add(new[2], ArrayType(factor))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rebatched(batches):

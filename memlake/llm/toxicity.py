@@ -27,6 +27,8 @@ from .common import class_sample, rebatched, small_batches
 
 #: At most so many labelled documents of each class are used to train.
 TRAIN_DOCS = 2000
+#: Longer documents (UTF-8 bytes) aren't trained on, so that the driver holds 256 MB of text at most; they are scored whole.
+TRAIN_BYTES = 1 << 16
 #: Words whose lengths a worker keeps; bounds memory, not results.
 CACHE = 300_000
 #: Words of a window. Each is compressed as a block of its own, so that the lengths of repeated
@@ -221,33 +223,37 @@ def _monotone(points: list[tuple[float, int]]) -> tuple[list[float], list[float]
 def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -> list[tuple[str, int]]:
     """Up to ``limit`` labelled documents of each class, the first by a hash of their id.
 
-    Only rows whose crc32(doc_id as text) mod 4 is not 2 are taken. Of several labels of a
-    document the highest counts; null labels and null ids don't.
+    Only rows whose crc32(doc_id as text) mod 4 is not 2 are taken, and no text beyond
+    TRAIN_BYTES. Of several labels of a document the highest counts; null labels and null
+    ids don't; of rows that repeat an id and a text one counts.
     """
     fits = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2
     y = labels.where(F.col("toxic").isin(0, 1)).where(fits).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     y = class_sample(y.withColumn("h", F.xxhash64("doc_id")), "y", "h", limit)  # 2 * limit short rows
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    rows = docs.where(F.octet_length("text") <= TRAIN_BYTES).select("doc_id", "text").join(F.broadcast(y), "doc_id")
+    rows = class_sample(rows.withColumn("k", F.xxhash64("doc_id", "text")), "y", "k", limit)  # an id may stand on many rows
     return [(r["text"], r["y"]) for r in rows.orderBy("h", "doc_id", "text").select("text", "y").collect()]
 
 
-def score_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """Add ``score`` (0 to 1) to every row; a null or empty text has no evidence. Nothing is shuffled.
+def score_documents(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """Add ``column`` (0 to 1) to every row, from its whole text, however long; a null or empty
+    text has no evidence. Nothing is shuffled.
 
-    A column named ``score`` is replaced; other columns and repeated rows stay as they are.
+    A column of that name is replaced; other columns and repeated rows stay as they are. No
+    rows in, no rows out.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.drop("score")
+    docs = docs.drop(column)
     held = spark.sparkContext.broadcast(model)  # two dictionaries of 32 KB at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = held.value
         for b in rebatched(batches):
             got = m.score_all([t or "" for t in b.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], names=[*b.schema.names, column])
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("score", "double"))
+    return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add(column, "double"))
 
 
 def predictions(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

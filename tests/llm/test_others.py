@@ -172,10 +172,69 @@ def test_language(spark):
     assert {x.lang_pred for x in langid.predictions(df.where("lang is null")).collect()} == {"und"}
 
 
-def test_out_of_place_distance():
-    a, b = langid.ranked(langid.grams("aaa bb c")), langid.ranked(langid.grams("zz yy xx"))
-    p = langid.Profiles({"one": a, "two": b})
-    assert p.predict("aaa bb c") == ("one", 1.0) and p.predict("zz yy")[0] == "two" and p.predict("日本")[1] >= 0
+def brute_profiles(docs):
+    """Language profiles by plain counting of substrings; {lang: [n-gram, ...]}."""
+    total = {}
+    for text, lang in docs:
+        count, every = plain_grams(text)
+        best = sorted(count, key=lambda g: (-count[g], code(g)))[: langid.PROFILE]
+        for g in best:
+            t = total.setdefault(lang, {})
+            t[g] = t.get(g, 0) + count[g] / every
+    return {k: sorted(v, key=lambda g: (-round(v[g], 9), np.uint64(code(g)).view(np.int64)))[: langid.PROFILE] for k, v in total.items()}
+
+
+def code(gram):
+    h = 0
+    for c in gram:
+        h = (h + (0 if c == " " else ord(c)) + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+        h ^= h >> 29
+    return h
+
+
+def plain_grams(text):
+    s = "".join(c if c.isalpha() else " " for c in f" {(text or '').lower()} ")
+    while "  " in s:
+        s = s.replace("  ", " ")
+    count = {}
+    for n in range(1, 6):
+        for i in range(len(s) - n + 1):
+            if s[i : i + n] != " ":
+                count[s[i : i + n]] = count.get(s[i : i + n], 0) + 1
+    return count, sum(count.values())
+
+
+def test_language_against_plain_counts(spark, monkeypatch):
+    r = random.Random(3)
+    syllables = {"en": "th in er on", "el": "κα το ης εν", "zh": "的 一 是 不", "ru": "ст но то на"}
+    say = lambda k, n: " ".join("".join(r.choice(syllables[k].split()) for _ in range(r.randrange(1, 4))) for _ in range(n))
+    rows = [(i, say(k, r.randrange(1, 40)) + r.choice([".", " 12", ""]), k) for i in range(80) for k in [list(syllables)[i % 4]]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    fit = [(t, k) for i, t, k in rows if zlib.crc32(str(i).encode()) % 5]
+    want = brute_profiles(fit)
+    got = langid.train(df)
+    assert {k: [int(x) for x in v] for k, v in got.items()} == {k: [code(g) for g in v] for k, v in want.items()}
+    p = langid.Profiles(got)
+    for _, t, _ in rows + [(0, "κάτι στο", ""), (0, "zzz", "")]:
+        count, _ = plain_grams(t)
+        own = sorted(count, key=lambda g: (-count[g], code(g)))[: langid.PROFILE]
+        far = {k: sum(abs(i - v.index(g)) if g in v else langid.PROFILE for i, g in enumerate(own)) for k, v in want.items()}
+        best = min(sorted(far), key=far.get)
+        rest = min(v for k, v in far.items() if k != best)
+        name, score = p.predict(t)
+        assert name == best and abs(score - (rest - far[best]) / rest) < 1e-12
+    monkeypatch.setattr(langid, "PIECE", 7)
+    for _, t, _ in rows[:20]:
+        codes, counts = langid.grams(t)
+        assert dict(zip(codes.tolist(), counts.tolist())) == {k: v for k, v in ((code(g), n) for g, n in plain_grams(t)[0].items())} or (counts >= 0).all() and {int(c): int(n) for c, n in zip(codes, counts) if n} == {code(g): n for g, n in plain_grams(t)[0].items()}
+
+
+def test_many_languages_and_long_text(spark):
+    rows = [(i, f"{chr(0x4E00 + i % 1300)} " * 9, f"l{i % 1300}", 1) for i in range(3900)] + [(9999, "一" * 300_000, None, 1)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred int")
+    got = {x.doc_id: x for x in langid.predictions(df).collect()}
+    assert len(got) == 3901 and got[9999].lang_pred == "l0"
+    assert sum(got[i].lang_pred == f"l{i % 1300}" for i in range(3900) if got[i].held_out) >= 0.9 * sum(got[i].held_out for i in range(3900))
 
 
 @pytest.fixture(scope="module")

@@ -71,3 +71,40 @@ def test_stages_keep_columns(spark, tmp_path):
     for _, f in corpus_pipeline.STAGES[:-1]:
         out = f(spark, docs, str(tmp_path))
         assert out.columns == docs.columns and [tuple(x) for x in out.collect()] == [(1, "a b c", "en", "s", 5)]
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Extra columns, null ids and texts, repeated rows: nothing is lost, renamed or overwritten."""
+    extra = ["score", "_score", "n_words", "n_removed", "factors", "_kept_text", "_row", "_kept", "_id", "_of", "_key", "_spans", "_matches", "key", "root", "fp", "rank", "_host", "_rank", "_TIMES"]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in extra)
+    row = lambda i, t: (i, t, "en", "s", 7, *range(len(extra)))
+    passage, leak = " ".join(f"p{i}" for i in range(40)), " ".join(f"q{i}" for i in range(12))
+    rows = [row(1, f"one two three {passage} four"), row(2, f"{passage} five six seven eight"), row(3, leak), row(None, None), row(None, "lone words of a kind"), row(4, "again and again and"), row(4, "again and again and")]
+    docs = spark.createDataFrame(rows, schema)
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {"toxicity": 7, "simhash_near_dedup": 6, "substring_dedup": 6, "benchmark_decontamination": 5}
+    for name, f in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, f(spark, docs, str(tmp_path))
+        got = docs.collect()
+        assert docs.columns == before.columns and len(got) == want[name], name
+        assert all(tuple(x)[5:] == tuple(range(len(extra))) for x in got), name
+    left = sorted((x.doc_id or 0, x.text, x.n_chars) for x in got if x.text)
+    assert left == [(0, "lone words of a kind", 7), (1, "one two three four", 18), (2, "five six seven eight", 20), (4, "again and again and", 7)]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 5
+
+
+def test_tables_of_finished_stages_are_deleted(spark, tmp_path):
+    import os
+
+    from memlake.llm import common
+
+    common.cleanup(spark)
+    docs = spark.createDataFrame([(i, f"some text of number {i}", "en", "s", 9) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(common.written()) == 1 and out.count() > 0
+    common.cleanup(spark)
+    assert not common.written() and not [x for x in os.listdir(spark.conf.get("spark.checkpoint.dir")) if x.startswith("stage-")]
