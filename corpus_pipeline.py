@@ -12,20 +12,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import bpe, decontam, simhash, substring, toxicity
-from memlake.llm.common import materialise, table
+from memlake.llm.common import cleanup, free_names, materialise, table, written
 
 #: A document with this score or more is rejected.
 TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose toxicity score is 0.3 or more; null and empty texts stay."""
+    """Without the documents whose toxicity score is 0.3 or more; null and empty texts stay.
+
+    All columns stay, whatever their names; repeated rows share their fate; no rows in, no rows out.
+    """
+    (score,) = free_names(docs, "_score")
     model = toxicity.train(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
-    return toxicity.score_documents(docs, model).where(F.col("score") < TOXIC).select(*docs.columns)
+    return toxicity.score_documents(docs, model, score).where(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id."""
+    """One document of each near-duplicate group, the one with the smallest doc_id (without one: the last choice).
+
+    Null and empty texts are copies of each other; of repeated rows one stays; all columns stay.
+    """
     return simhash.keep_one(docs)
 
 
@@ -33,18 +40,25 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Texts without their words in passages of 35 words or more that stand elsewhere too.
 
     Where words go, the rest is joined by single spaces and n_chars counts it anew; other
-    texts stay as they are, nulls too. No document goes.
+    texts stay as they are, nulls too. No document goes; all other columns stay as they are.
     """
-    kept = substring.deduplicate(docs, "_kept_text")
-    cut = F.col("n_removed") > 0
-    new = kept.withColumn("text", F.when(cut, F.col("_kept_text")).otherwise(F.col("text"))).withColumn("n_chars", F.when(cut, F.length("_kept_text").cast("long")).otherwise(F.col("n_chars")))
+    text, *counts = free_names(docs, "_kept_text", "_n_words", "_n_removed", "_factors")
+    kept = substring.deduplicate(docs, text, tuple(counts))
+    cut = F.col(counts[1]) > 0
+    new = kept.withColumn("text", F.when(cut, F.col(text)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.when(cut, F.length(text).cast("long")).otherwise(F.col("n_chars")))
     return new.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents in which a window of ten words of a benchmark item occurs."""
-    hit = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    """Without the documents in which a window of ten words of a benchmark item occurs.
+
+    Null and empty texts stay; repeated rows share their fate; all columns stay, whatever their names.
+    """
+    id_, key = free_names(docs, "_id", "_key")
+    hit = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).where("n_hit > 0").select(F.col("doc_id").alias(id_), F.col("key").alias(key)).distinct()
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(key)), "left_anti")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,8 +81,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to the whole documents table."""
     docs = table(spark, sf_dir, "documents")
+    before = written()
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs, _ = materialise(docs, f"stage-{name}")
+            docs, path = materialise(docs, f"stage-{name}")
+            cleanup(spark, keep=[*before, path])  # the stage's own tables and its input
     return docs
