@@ -137,14 +137,19 @@ def rebatched(batches: Iterable[pa.RecordBatch], max_bytes: int = 32 << 20) -> I
 
 
 def class_sample(rows: DataFrame, kind: str, h: str, limit: int) -> DataFrame:
-    """Up to ``limit`` rows of each class, those with the smallest hash ``h``; of rows that share class and hash one.
+    """Up to ``limit`` rows of each class, those with the smallest signed 64-bit hash ``h``; of rows
+    that share class and hash one.
 
-    The smallest hashes are found on these two columns alone, first within each partition, so
-    that no class has to be gathered and no other column moves before the rows are chosen.
-    There may be any number of classes.
+    A class's hashes are first cut to a range that holds about twice the limit, so that no
+    class has to be gathered, and no other column moves before the rows are chosen. There may
+    be any number of classes: their counts are joined by broadcast only while Spark finds
+    them small.
     """
+    count, rank = free_names(rows, "_count", "_rank")
+    counts, p0 = materialise(rows.groupBy(kind).agg(F.count("*").alias(count)), "class-counts")
+    share = (F.col(h).cast("double") + float(1 << 63)) / float(1 << 64)
+    near = rows.select(kind, h).join(counts, kind).where(share <= (2 * limit + 50) / F.col(count)).select(kind, h).distinct()
     w = Window.partitionBy(kind).orderBy(h)
-    (rank,) = free_names(rows, "_rank")
-    least = rows.select(kind, h).withColumn(rank, F.dense_rank().over(w)).where(F.col(rank) <= limit).select(kind, h).distinct()
-    least, _ = materialise(least, "class-sample")
+    least, _ = materialise(near.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= limit).select(kind, h), "class-sample")
+    release(rows.sparkSession, p0)
     return rows.join(least, [kind, h], "left_semi").dropDuplicates([kind, h])

@@ -1,10 +1,14 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The training documents' postings of test terms are stored in segments of consecutive
-documents, in the shared folder: for each term its positions, for each document its first
-position. Phrases are found by taking the postings of a phrase's rarest term, shifting
-them to the phrase's start, and keeping those starts that the postings of the next-rarest
-terms, shifted likewise, hold too.
+The postings of all terms of the training documents are stored once, in the shared folder,
+in segments of consecutive documents: for each term its positions, for each document its
+first position. Any test set, in rounds of a bounded size, is looked up in it. A phrase is
+found by taking the postings of its rarest term in the segment, shifting them to the
+phrase's start, and intersecting them with the postings of the next-rarest terms, shifted
+likewise, until none or all terms are done.
+
+Terms are held as 64-bit hashes (XXH3). Two of a billion terms share a hash with a chance of
+3 %, and to be mistaken for a phrase all ten terms would have to agree.
 """
 
 from __future__ import annotations
@@ -14,17 +18,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, rebatched, release, small_batches, texts
+from .common import materialise, rebatched, release, small_batches
 
 #: Words of a window.
 WINDOW = 10
-#: Test text of one round at most: bounds what is broadcast. More text takes more rounds.
+#: Test text of one round at most: bounds what is broadcast. More text takes more rounds over the index.
 ROUND_BYTES = 8 << 20
 #: Words of a segment, about; a longer document is a segment of its own.
-SEGMENT_WORDS = 1 << 20
+SEGMENT_WORDS = 1 << 19
+#: Postings that are intersected at a time, about.
+CANDIDATES = 1 << 20
 
 _TABLE = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 128 or 48 <= c <= 57 or 65 <= c <= 90 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -34,11 +41,15 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_TABLE).split()
 
 
+def term(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
 @dataclass
 class Test:
-    """Windows of test items as term numbers, rows padded by -1."""
+    """Windows of test items as numbers of terms, rows padded by -1; ``terms``: the terms' hashes."""
 
-    vocab: dict[bytes, int]
+    terms: np.ndarray
     windows: np.ndarray
     lengths: np.ndarray
     items: list[list[str]]
@@ -56,62 +67,72 @@ class Test:
         w = np.full((len(found), window), -1, np.int32)
         for k, ids in enumerate(found):
             w[k, : len(ids)] = ids
-        return cls(vocab, w, (w >= 0).sum(1).astype(np.int32), [sorted(x) for x in found.values()])
-
-
-SEGMENT = "doc_ids array<bigint>, keys array<bigint>, starts array<int>, sizes array<int>, terms array<int>, counts array<int>, positions binary"
-
-
-def build(docs: DataFrame, vocab: dict[bytes, int]) -> DataFrame:
-    """Index segments of every document's test terms. Positions count words from 1 over the
-    segment, and skip one between documents, so that no phrase spans two of them."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    held = spark.sparkContext.broadcast(vocab)
+        return cls(np.array([term(x) for x in vocab], np.uint64), w, (w >= 0).sum(1).astype(np.int32), [sorted(x) for x in found.values()])
+
+
+SEGMENT = "doc_ids array<bigint>, keys array<bigint>, sizes array<int>, terms binary, counts binary, positions binary"
+
+
+def _numbered(text: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words' hashes, and which of them each word is; the last byte is a space."""
+    keep = ~space
+    keep[1:] |= ~space[:-1]  # a word and one space after it
+    text = text[keep]
+    ends = np.flatnonzero(text == 32) + 1
+    if len(ends) and ends[0] == 1:  # separators before the first word
+        text, ends = text[1:], ends[1:] - 1
+    edges = np.concatenate([[0], ends]).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(edges), pa.py_buffer(text)]).dictionary_encode()
+    hashes = np.array([term(w[:-1]) for w in found.dictionary.to_pylist()], np.uint64)
+    return hashes, found.indices.to_numpy()
+
+
+def _segment(ids: list, keys: list, parts: list[bytes]) -> pa.RecordBatch:
+    whole = np.frombuffer(b"".join([*(x for p in parts for x in (p, b" "))]).translate(_TABLE), np.uint8)
+    space = whole == 32
+    hashes, number = _numbered(whole, space)
+    # where words end tells how many a document has
+    last = np.flatnonzero(space & ~np.concatenate([[True], space[:-1]]))
+    ends = np.searchsorted(last, np.cumsum([len(p) + 1 for p in parts]))
+    sizes = np.diff(ends, prepend=0).astype(np.int32)
+    # positions count from 1 and skip one between documents, so that no phrase spans two of them
+    at = np.arange(1, len(number) + 1) + np.repeat(np.arange(len(parts)), sizes)
+    by_hash = np.argsort(hashes)
+    place = np.empty(len(hashes), np.int32)
+    place[by_hash] = np.arange(len(hashes), dtype=np.int32)
+    number = place[number]
+    order = np.argsort(number, kind="stable")
+    counts = np.bincount(number, minlength=len(hashes))
+    row = [ids, keys, sizes]
+    kinds = [pa.int64(), pa.int64(), pa.int32()]
+    cols = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k)) for x, k in zip(row, kinds, strict=True)]
+    blobs = [hashes[by_hash].astype("<u8"), counts.astype("<i4"), at[order].astype("<i4")]
+    return pa.RecordBatch.from_arrays([*cols, *[pa.array([x.tobytes()], pa.binary()) for x in blobs]], names=["doc_ids", "keys", "sizes", "terms", "counts", "positions"])
+
+
+def build(docs: DataFrame) -> DataFrame:
+    """Index segments with the postings of every word of every document."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = held.value.get
         ids: list = []
         keys: list = []
-        parts: list[np.ndarray] = []
+        parts: list[bytes] = []
         total = 0
-
-        def flush() -> pa.RecordBatch:
-            sizes = np.array([len(p) for p in parts], np.int32)
-            starts = np.concatenate([[1], 1 + np.cumsum(sizes[:-1] + 1)]).astype(np.int32)
-            at = np.concatenate([np.arange(s, s + n, dtype=np.int32) for s, n in zip(starts.tolist(), sizes.tolist(), strict=True)])
-            term = np.concatenate(parts)
-            at, term = at[term >= 0], term[term >= 0]
-            order = np.argsort(term, kind="stable")
-            terms, counts = np.unique(term, return_counts=True)
-            row = [ids, keys, starts, sizes, terms.astype(np.int32), counts.astype(np.int32)]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-            cols = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, k)) for x, k in zip(row, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([*cols, pa.array([at[order].astype("<i4").tobytes()], pa.binary())], names=["doc_ids", "keys", "starts", "sizes", "terms", "counts", "positions"])
-
         for b in rebatched(batches):
-            for i, k, text in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), texts(b), strict=True):
-                own = words(text)
+            for i, k, text in zip(b.column("doc_id").to_pylist(), b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                size = len(text or b"") // 6
+                if parts and total + size > SEGMENT_WORDS:
+                    yield _segment(ids, keys, parts)
+                    ids, keys, parts, total = [], [], [], 0
                 ids.append(i)
                 keys.append(k)
-                parts.append(np.fromiter((number(w, -1) for w in own), np.int32, len(own)))
-                total += len(own) + 1
-                if total >= SEGMENT_WORDS:
-                    yield flush()
-                    ids, keys, parts, total = [], [], [], 0
+                parts.append(text or b"")
+                total += size + 1
         if parts:
-            yield flush()
-
-    return docs.select("doc_id", F.xxhash64("text").alias("key"), "text").mapInArrow(run, SEGMENT)
+            yield _segment(ids, keys, parts)
 
-
-def frequencies(index: DataFrame, n: int) -> np.ndarray:
-    """Postings of each of ``n`` terms in the whole index."""
-    rows = index.select(F.explode(F.arrays_zip("terms", "counts")).alias("t")).groupBy("t.terms").agg(F.sum("t.counts").alias("n"))
-    out = np.zeros(n, np.int64)
-    for r in rows.collect():  # a row for each test term at most
-        out[r["terms"]] = r["n"]
-    return out
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(run, SEGMENT)
 
 
 def _each(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -121,68 +142,88 @@ def _each(batch: pa.RecordBatch) -> Iterator[dict]:
 
 
 class Segment:
-    """Postings of a segment: sorted positions of each term."""
+    """Postings of a segment: sorted positions of each term, end to end."""
 
     def __init__(self, row: dict):
-        self.starts, self.sizes = np.array(row["starts"], np.int64), np.array(row["sizes"], np.int64)
-        self.terms, self.counts = np.array(row["terms"], np.int64), np.array(row["counts"], np.int64)
-        self.positions = np.frombuffer(row["positions"], "<i4")
-        self.ends = np.cumsum(self.counts)
+        self.sizes = np.array(row["sizes"], np.int64)
+        self.starts = np.concatenate([[1], 1 + np.cumsum(self.sizes[:-1] + 1)]).astype(np.int64)
         self.length = int(self.starts[-1] + self.sizes[-1] + 1)
-
-    def lists(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The postings of each of these terms, end to end, and whose they are."""
-        k = np.searchsorted(self.terms, terms)
-        have = (k < len(self.terms)) & (self.terms[np.minimum(k, max(0, len(self.terms) - 1))] == terms) if len(self.terms) else np.zeros(len(terms), bool)
-        n = np.where(have, self.counts[np.where(have, k, 0)] if len(self.counts) else 0, 0)
-        first = np.where(have, (self.ends - self.counts)[np.where(have, k, 0)] if len(self.counts) else 0, 0)
-        whose = np.repeat(np.arange(len(terms)), n)
-        return self.positions[np.repeat(first - np.cumsum(n) + n, n) + np.arange(int(n.sum()))].astype(np.int64), whose
-
-    def postings(self, term: int) -> np.ndarray:
-        return self.lists(np.array([term]))[0]
+        self.terms = np.frombuffer(row["terms"], "<u8")
+        self.counts = np.frombuffer(row["counts"], "<i4").astype(np.int64)
+        self.ends = np.cumsum(self.counts)
+        self.positions = np.frombuffer(row["positions"], "<i4").astype(np.int64)
+        # lists of later terms hold larger keys, so one search finds a position in one term's list
+        self.keys = np.repeat(np.arange(len(self.terms)) * (self.length + 1), self.counts) + self.positions
+
+    def find(self, terms: np.ndarray) -> np.ndarray:
+        """Which list each term (a hash) has; -1: none."""
+        if not len(self.terms):
+            return np.full(len(terms), -1)
+        k = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
+        return np.where(self.terms[k] == terms, k, -1)
+
+    def lists(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The postings of each of these lists, end to end, and whose they are."""
+        n = self.counts[which]
+        whose = np.repeat(np.arange(len(which)), n)
+        return self.positions[np.repeat(self.ends[which] - np.cumsum(n), n) + np.arange(int(n.sum()))], whose
+
+    def holds(self, which: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Whether each of these lists holds the position."""
+        key = which * (self.length + 1) + at
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return (self.keys[k] == key) & (at <= self.length)
 
     def documents(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.starts, at, "right") - 1
 
-    def phrases(self, windows: np.ndarray, lengths: np.ndarray, rarest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, start) of every occurrence. ``rarest``: each window's columns, rarest term first."""
-        here = np.zeros(int(windows.max(initial=-1)) + 2, bool)
-        here[self.terms] = True
-        here[-1] = True  # padding
-        some = np.flatnonzero(here[windows].all(1))
-        at, whose = self.lists(windows[some, rarest[some, 0]])
-        w = some[whose]
-        at = at - rarest[w, 0]
-        # which term's list holds a position
-        of = np.full(self.length + windows.shape[1] + 1, -1, np.int32)
-        of[self.positions] = np.repeat(self.terms, self.counts)
-        ok = at >= 1
-        w, at = w[ok], at[ok]
-        for k in range(1, windows.shape[1]):
-            col = rarest[w, k]
-            ok = (col >= lengths[w]) | (of[np.minimum(at + col, len(of) - 1)] == windows[w, col])
-            w, at = w[ok], at[ok]
-        return w, at
-
-
-def hits(index: DataFrame, test: Test, frequency: np.ndarray) -> DataFrame:
+    def phrases(self, test: Test) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(window, start) of every occurrence, from lists of bounded length at a time."""
+        place = np.append(self.find(test.terms), -2)  # the last one is padding's
+        some = np.flatnonzero((place[test.windows] != -1).all(1))
+        if not len(some):
+            return
+        lists = place[test.windows[some]]
+        order = np.argsort(np.where(lists >= 0, self.counts[lists], 1 << 40), axis=1, kind="stable")
+        n = np.cumsum(self.counts[lists[np.arange(len(some)), order[:, 0]]])
+        cuts = np.searchsorted(n, np.arange(CANDIDATES, int(n[-1]), CANDIDATES))
+        for part in np.split(np.arange(len(some)), np.unique(cuts)):
+            if not len(part):
+                continue
+            at, whose = self.lists(lists[part, order[part, 0]])
+            w = part[whose]
+            at = at - order[w, 0]
+            w, at = w[at >= 1], at[at >= 1]
+            for k in range(1, lists.shape[1]):
+                col = order[w, k]
+                own = lists[w, col]
+                ok = own < 0
+                real = np.flatnonzero(~ok)
+                ok[real] = self.holds(own[real], at[real] + col[real])
+                w, at = w[ok], at[ok]
+                if not len(w):
+                    break
+            yield some[w], at
+
+
+HITS = "doc_id long, key long, n_words long, n_hit long, items array<string>, spans array<bigint>"
+
+
+def hits(index: DataFrame, test: Test) -> DataFrame:
     """``doc_id, key, n_words, n_hit, items, spans`` of every indexed document; spans: first word (from 0) and end of each hit run, end to end."""
-    spark = index.sparkSession
-    small_batches(spark)
-    rank = np.append(frequency, np.iinfo(np.int64).max)
-    rarest = np.argsort(rank[test.windows], axis=1, kind="stable").astype(np.int32)
-    held = spark.sparkContext.broadcast((test.windows, test.lengths, rarest, test.items))
+    held = index.sparkSession.sparkContext.broadcast(test)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, lengths, order, items = held.value
+        test = held.value
         for b in batches:
             for row in _each(b):
                 seg = Segment(row)
-                w, at = seg.phrases(windows, lengths, order) if len(windows) else (np.zeros(0, int), np.zeros(0, int))
                 edge = np.zeros(seg.length + 1, np.int64)
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + lengths[w], -1)
+                pairs: list[np.ndarray] = []
+                for w, at in seg.phrases(test) if len(test.windows) else ():
+                    np.add.at(edge, at, 1)
+                    np.add.at(edge, at + test.lengths[w], -1)
+                    pairs.append(np.unique(np.stack([seg.documents(at), w]), axis=1))
                 hit = np.cumsum(edge) > 0
                 sums = np.concatenate([[0], np.cumsum(hit)])
                 turn = np.flatnonzero(np.diff(hit, prepend=False))  # runs end within their document
@@ -191,8 +232,8 @@ def hits(index: DataFrame, test: Test, frequency: np.ndarray) -> DataFrame:
                 runs = np.split(turn, 2 * np.searchsorted(where, np.arange(1, len(seg.sizes))))
                 n_hit = sums[seg.starts + seg.sizes] - sums[seg.starts]
                 found: dict[int, set[str]] = {}
-                for d, k in {*zip(seg.documents(at).tolist(), w.tolist(), strict=True)}:
-                    found.setdefault(d, set()).update(items[k])
+                for d, k in (x for p in pairs for x in p.T.tolist()):
+                    found.setdefault(d, set()).update(test.items[k])
                 lists = [sorted(found.get(d, ())) for d in range(len(seg.sizes))]
                 cols = [pa.array(row["doc_ids"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(seg.sizes), pa.array(n_hit), pa.array(lists, pa.list_(pa.string())), pa.array(runs, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "key", "n_words", "n_hit", "items", "spans"])
@@ -200,9 +241,6 @@ def hits(index: DataFrame, test: Test, frequency: np.ndarray) -> DataFrame:
     return index.mapInArrow(run, HITS)
 
 
-HITS = "doc_id long, key long, n_words long, n_hit long, items array<string>, spans array<bigint>"
-
-
 def merged(rounds: list[DataFrame]) -> DataFrame:
     """The hits of several rounds over the same documents as those of one. Rows that repeat a
     document are alike in every round, so they are counted and given back as often."""
@@ -228,28 +266,30 @@ def merged(rounds: list[DataFrame]) -> DataFrame:
     return got.mapInArrow(run, HITS)
 
 
-def proximity(index: DataFrame, vocab: dict[bytes, int], terms: list[str], width: int, frequency: np.ndarray | None = None) -> DataFrame:
-    """``doc_id, key, position`` (from 1) of each place of the rarest term with all other terms within
-    ``width`` words of it in the same document, in any order. Terms that aren't indexed are nowhere."""
+def proximity(index: DataFrame, words_: list[str], width: int) -> DataFrame:
+    """``doc_id, key, position`` (from 1) of each place of a document's rarest such word with all others
+    within ``width`` words of it in the same document, in any order. Words that don't occur are nowhere."""
     spark = index.sparkSession
     schema = "doc_id long, key long, position long"
-    ids = [vocab.get(w, -1) for t in terms for w in words(t.encode())]
-    if not ids or min(ids) < 0:
+    terms = np.unique(np.array([term(w) for t in words_ for w in words(t.encode())], np.uint64))
+    if not len(terms):
         return spark.createDataFrame([], schema)
-    freq = frequencies(index, len(vocab)) if frequency is None else frequency
-    ids = sorted(set(ids), key=lambda i: (freq[i], i))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in _each(b):
                 seg = Segment(row)
-                at = seg.postings(ids[0])
+                which = seg.find(terms)
+                if which.min() < 0:
+                    continue
+                which = which[np.argsort(seg.counts[which], kind="stable")]
+                at, _ = seg.lists(which[:1])
                 d = seg.documents(at)
                 low = np.maximum(at - width, seg.starts[d])
                 high = np.minimum(at + width, seg.starts[d] + seg.sizes[d] - 1)
                 ok = np.ones(len(at), bool)
-                for t in ids[1:]:
-                    p = seg.postings(t)
+                for t in which[1:]:
+                    p, _ = seg.lists(np.array([t]))
                     ok &= np.searchsorted(p, low, "left") < np.searchsorted(p, high, "right")
                 d, at = d[ok], at[ok]
                 cols = [pa.array([row["doc_ids"][x] for x in d], pa.int64()), pa.array([row["keys"][x] for x in d], pa.int64()), pa.array(at - seg.starts[d] + 1)]
@@ -265,22 +305,26 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     one, is one window. A document's word is hit inside any occurrence of a window.
     ``items`` are the ids, as strings in order, of items with occurring windows; an item
     without an id hits, but can't be listed. A null text has no words. Repeated documents
-    and items count each; other columns don't matter.
+    and items count each; other columns don't matter, whatever their names.
     """
-    spark = docs.sparkSession
     rows = benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
+    index, path = materialise(build(docs), "postings")
+    return search(index, rows, window, path)
+
+
+def search(index: DataFrame, rows: DataFrame, window: int = WINDOW, path: str | None = None) -> DataFrame:
+    """The hits of test items ``item, text`` in an index, as ``decontaminate`` gives them."""
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     rounds = -(-size // ROUND_BYTES) or 1
     done = []
     for k in range(rounds):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(rounds)) == k)
-        test = Test.of([(r["item"], r["text"]) for r in part.collect()], window)
-        index, path = materialise(build(docs, test.vocab), "postings")
-        got = hits(index, test, frequencies(index, len(test.vocab)))
+        got = hits(index, Test.of([(r["item"], r["text"]) for r in part.collect()], window))
         if rounds == 1:
             return got
         done.append(materialise(got, "hits")[0])
-        release(spark, path)
+    if path:
+        release(index.sparkSession, path)
     return merged(done)
 
 

@@ -58,6 +58,7 @@ def test_matches_brute_force(spark, monkeypatch):
     assert run(spark, docs, items) == want
     monkeypatch.setattr(decontam, "ROUND_BYTES", 120)
     monkeypatch.setattr(decontam, "SEGMENT_WORDS", 100)
+    monkeypatch.setattr(decontam, "CANDIDATES", 50)
     assert run(spark, docs, items) == want
 
 
@@ -69,8 +70,17 @@ def test_empty_tables(spark):
 
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a b c d e f"), (2, "f x x x x x x a"), (3, "b a"), (4, None)], "doc_id long, text string")
-    vocab = {w.encode(): i for i, w in enumerate("a b c d e f".split())}
-    index = decontam.build(d, vocab)
-    assert sorted((r.doc_id, r.position) for r in decontam.proximity(index, vocab, ["a", "b"], 1).collect()) == [(1, 2), (3, 1)]
-    assert [r.doc_id for r in decontam.proximity(index, vocab, ["f", "a"], 5).collect()] == [1]
-    assert decontam.proximity(index, vocab, ["f", "zzz"], 5).count() == 0
+    index = decontam.build(d.repartition(1))
+    assert sorted((r.doc_id, r.position) for r in decontam.proximity(index, ["a", "b"], 1).collect()) == [(1, 2), (3, 1)]
+    assert [r.doc_id for r in decontam.proximity(index, ["f", "a"], 5).collect()] == [1]
+    assert decontam.proximity(index, ["f", "zzz"], 5).count() == 0 and decontam.proximity(index, [], 5).count() == 0
+
+
+def test_one_index_serves_any_test_set(spark):
+    docs, items = cases()
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    index, _ = decontam.materialise(decontam.build(d), "postings")
+    for some in (items[:3], items[6:], [(7, "straße")]):
+        rows = spark.createDataFrame([(i if i is None else str(i), t if t is None else t.encode()) for i, t in some], "item string, text binary")
+        got = sorted(((r.doc_id, r.n_words, r.n_hit, len(r["items"])) for r in decontam.search(index, rows).collect()), key=repr)
+        assert got == sorted((x[:4] for x in brute(docs, some)), key=repr)
