@@ -12,7 +12,8 @@ import hashlib
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, MutableSequence
 from functools import lru_cache
 from itertools import accumulate, chain
 
@@ -31,6 +32,10 @@ NONE = np.iinfo(np.int64).max
 CACHE = 500_000
 #: Cells of the matrices that step together.
 CELLS = 1 << 21
+#: So few trees, and trees of so many leaves, step one by one: a step of a matrix costs as much as many of theirs.
+FEW, WIDE = 32, 1 << 13
+#: Longer runs (characters) aren't kept in the caches.
+KEPT = 1 << 10
 #: White space for Python's str.split that isn't white space for the tokenizer.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 
@@ -59,6 +64,8 @@ class PairTree:
         # of a repeated pair the later rank holds
         uniq, at = np.unique(keys[::-1], return_index=True)
         self.keys, self.ranks = np.append(uniq, NONE), np.append(len(keys) - 1 - at, -1)
+        self.rank_of = dict(zip(uniq.tolist(), (len(keys) - 1 - at).tolist(), strict=True))
+        self.merged = self.product.tolist()
 
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a * self.size + b
@@ -72,6 +79,10 @@ class PairTree:
         width = np.maximum(2, 1 << np.ceil(np.log2(np.maximum(lens, 2))).astype(np.int64))
         for w in np.unique(width):
             rows = np.flatnonzero(width == w)
+            if w >= WIDE:
+                for k in rows.tolist():
+                    out[k] = self._one(words[k], int(w))
+                continue
             step = max(1, CELLS // int(w))
             for i in range(0, len(rows), step):
                 part = rows[i : i + step]
@@ -101,7 +112,11 @@ class PairTree:
         while True:
             root = tree[live, 1]
             live, root = live[root != NONE], root[root != NONE]
-            if not len(live):
+            if len(live) <= FEW:
+                for r in live.tolist():
+                    own = sym[r].tolist()
+                    self._finish(tree[r].tolist(), own, nxt[r].tolist(), prv[r].tolist(), int(lens[r]), w)
+                    sym[r] = own
                 break
             i, base = root % w, live * w
             j = nx[base + i]
@@ -126,6 +141,61 @@ class PairTree:
         ends = (4 * np.cumsum(keep.sum(1))).tolist()
         return [flat_ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
+    def _finish(self, tree: MutableSequence[int], sym: MutableSequence[int], nxt: MutableSequence[int], prv: MutableSequence[int], n: int, w: int) -> None:
+        """All merges that are left in one tree: the root's pair, then three leaves and those of their
+        ancestors that change."""
+        none, size, rank_of, merged = NONE, self.size, self.rank_of, self.merged
+        while (root := tree[1]) != none:
+            i = root % w
+            j = nxt[i]
+            k = nxt[j]
+            s = sym[i] = merged[root // w]
+            sym[j] = -1
+            nxt[i] = k
+            p = prv[i]
+            updates = [(j, none)]
+            if k < n:
+                prv[k] = i
+                r = rank_of.get(s * size + sym[k])
+                updates.append((i, none if r is None else r * w + i))
+            else:
+                updates.append((i, none))
+            if p >= 0:
+                r = rank_of.get(sym[p] * size + s)
+                updates.append((p, none if r is None else r * w + p))
+            for leaf, v in updates:
+                node = leaf + w
+                tree[node] = v
+                while node > 1:
+                    other = tree[node ^ 1]
+                    v = v if v < other else other
+                    node >>= 1
+                    if tree[node] == v:
+                        break
+                    tree[node] = v
+
+    def _one(self, word: bytes, w: int) -> bytes:
+        """A long word alone: some 40 bytes of memory for each of its own."""
+        n = len(word)
+        sym = np.empty(n, np.int32)
+        leaves = np.full(2 * w, NONE, np.int64)
+        for i in range(0, n, 1 << 16):
+            sym[i : i + (1 << 16)] = self.first[np.frombuffer(word, np.uint8)[i : i + (1 << 16)]]
+        sym[-1] = self.last[word[-1]]
+        for i in range(0, n - 1, 1 << 16):
+            a = sym[i : i + (1 << 16) + 1].astype(np.int64)
+            r = self._rank(a[:-1], a[1:])
+            leaves[w + i : w + i + len(r)] = np.where(r >= 0, r * w + np.arange(i, i + len(r)), NONE)
+        level = w // 2
+        while level:
+            np.minimum(leaves[2 * level : 4 * level : 2], leaves[2 * level + 1 : 4 * level : 2], out=leaves[level : 2 * level])
+            level //= 2
+        tree, own = array("q", leaves.tobytes()), array("i", sym.tobytes())
+        del leaves, sym
+        self._finish(tree, own, array("i", range(1, n + 1)), array("i", range(-1, n - 1)), n, w)
+        ids = np.array(own)
+        return ids[ids >= 0].astype("<u4").tobytes()
+
     @staticmethod
     def _set(flat: np.ndarray, w: int, rows: np.ndarray, leaf: np.ndarray, value: np.ndarray) -> None:
         """Point updates of one leaf per row, and of its ancestors."""
@@ -209,6 +279,8 @@ class WordBpe:
         if new := {w for w, v in zip(words, got, strict=True) if v is None}:
             self._learn(list(new))
             got = list(map(self.cache.__getitem__, words))
+            for p in [p for p in new if len(p) > KEPT]:
+                del self.cache[p]
         ends = list(accumulate(map(len, split)))
         return [np.frombuffer(b"".join(got[a:b]), "<u4") for a, b in zip([0, *ends], ends, strict=False)]
 
@@ -225,8 +297,10 @@ def load(path: str) -> WordBpe:
 def encode_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Add ``ids`` (binary, little-endian unsigned 32-bit) and ``decoded`` to every row.
 
-    A null text counts as empty: no ids, an empty decoded text. Existing columns of these
-    names are replaced. Rows stay where they are; nothing is shuffled.
+    A null text counts as empty: no ids, an empty decoded text. Whole texts are encoded, and
+    words of any length: one of a million letters takes seconds, and some 40 MB. Existing
+    columns of these names are replaced; others, and repeated rows, stay. Rows stay where they
+    are; nothing is shuffled. No rows in, no rows out.
     """
     small_batches(docs.sparkSession)
     docs = docs.drop("ids", "decoded")

@@ -14,6 +14,7 @@ token counts. Files are memory-mapped when they are read.
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 import zlib
@@ -32,6 +33,8 @@ from .common import local_path, rebatched, shared_dir, small_batches
 MAGIC = 0x4D4C544F4B310A
 #: Runs in either of a worker's two caches; bounds memory, not results.
 CACHE = 300_000
+#: Longer runs (characters) aren't kept in the caches.
+KEPT = 1 << 10
 #: Bytes of text that are encoded together, about: a run that is in it often is looked up once.
 TOGETHER = 8 << 20
 #: Text of a part, about, as stored in the input's files.
@@ -135,6 +138,9 @@ class RunEncoder:
         if new:
             self._learn(new)
             got = [self.cache[r] if v is None else v for r, v in zip(distinct, got, strict=True)]
+            for r in new:
+                if len(r) > KEPT:
+                    del self.cache[r]
         taken = pa.array(got, pa.large_binary()).take(runs.indices)
         at = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
         ids = memoryview(taken.buffers()[2] or b"") if len(taken) else memoryview(b"")
@@ -200,10 +206,12 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, parts:
                 col = b.column("doc_id")
                 ids.append(col.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"))
                 nulls.append(col.is_null().to_numpy(zero_copy_only=False).astype(np.uint8))
+                gc.disable()  # millions of short lists, and no cycles among them
                 for x in enc.encode_column(b.column("text")):
                     out.write(x)
                     out.write(end)
                     sizes.append(len(x) // enc.kind.itemsize + 1)
+                gc.enable()
         offsets = np.zeros(len(sizes) + 1, "<i8")
         np.cumsum(np.array(sizes, np.int64), out=offsets[1:])
         with open(tmp + ".idx", "wb") as out:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -47,6 +48,18 @@ def test_bpe_caches_turn_over(monkeypatch):
             assert [x.tolist() for x in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts[i : i + 7]]
 
 
+def test_bpe_of_long_words():
+    w, lib = bpe.WordBpe(public_tokenizers.path("word_bpe_49k.json")), library("word_bpe_49k.json")
+    r = random.Random(4)
+    for n in (100, 9000, 40_000):
+        texts = ["".join(r.choice("etaoinshrdlu") for _ in range(n)), "a" * n, "".join(r.choice(["the", "ing", "\u4e00", "é"]) for _ in range(n // 3)), "ab" * (n // 2) + " x"]
+        assert [x.tolist() for x in w.encode_all(texts)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not [x for x in w.cache if len(x) > bpe.KEPT]
+    began = time.perf_counter()
+    w.encode_all(["".join(r.choice("ACGT") for _ in range(1_000_000))])
+    assert time.perf_counter() - began < 60
+
+
 def test_token_files(spark):
     texts, lib = some_texts(), library("byte_bpe_50k.json")
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "again"), (3, "again"), (None, "no id")]
