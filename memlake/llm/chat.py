@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import materialise, release
 
 START, END = "<|im_start|>", "<|im_end|>\n"
+#: Roles whose texts are learned from.
+OWN = ("assistant",)
 ESCAPES = (("\\", "\\e"), ("<", "\\l"), ("[", "\\b"))
 
 
@@ -90,7 +92,8 @@ def format_trees(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     ``nodes``: tree, node, parent, score, role, text; more columns don't matter. A path's
     score is the sum of its messages' scores (null: 0); the ``best`` paths of a tree are
     kept (None: all), ties to the smaller leaf. ``loss`` lists the spans (first code point
-    from 1, length) of the assistant's texts. A null role or text counts as empty; of rows
+    from 1, length) of the assistant's texts. Texts of any length are formatted whole; a path's texts
+    meet in one row, as they are one conversation, those of other paths don't move. A null role or text counts as empty; of rows
     with the same tree and node the one with the highest score, then the smallest role and
     text stays; a null node can't be answered and stands for itself only if it is a tree's
     only one. No rows in, no rows out.
@@ -99,16 +102,21 @@ def format_trees(nodes: DataFrame, best: int | None = 1) -> DataFrame:
     first = F.min_by(F.struct("parent", "score", "role", "text"), F.struct(-F.col("score"), "role", "text", "parent"))
     nodes, _ = materialise(nodes.groupBy("tree", "node").agg(first.alias("m")).select("tree", "node", "m.*"), "chat-nodes")
     at = paths(nodes)
-    turns = at.alias("p").join(nodes.alias("n"), F.expr("p.tree <=> n.tree and p.node = n.node")).select("p.tree", "p.leaf", "p.up", "n.score", F.lower("n.role").isin("assistant", "gpt", "bot").alias("own"), escape(F.col("n.role"), True).alias("role"), escape(F.col("n.text")).alias("text"))
+    # branches are ranked before any text moves
+    same = F.expr("p.tree <=> n.tree and p.node = n.node")
+    ranked = at.alias("p").join(nodes.select("tree", "node", "score").alias("n"), same).groupBy("p.tree", "p.leaf").agg(F.sum("n.score").alias("score"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
+    if best is not None:
+        ranked = ranked.where(F.col("rank") <= best)
+    ranked, _ = materialise(ranked, "chat-ranked")
+    chosen = at.alias("p").join(ranked.alias("r"), F.expr("p.tree <=> r.tree and p.leaf = r.leaf")).select("p.tree", "p.leaf", "p.node", "p.up", F.col("r.score").alias("sum"), "r.rank")
+    turns = chosen.alias("p").join(nodes.alias("n"), same).select("p.tree", "p.leaf", "p.up", "p.sum", "p.rank", F.col("n.role").isin(*OWN).alias("own"), escape(F.col("n.role"), True).alias("role"), escape(F.col("n.text")).alias("text"))
     turns = turns.withColumn("head", F.concat(F.lit(START), "role", F.lit("\n")))
     w = Window.partitionBy("tree", "leaf").orderBy(F.desc("up"))
     whole = F.length("head") + F.length("text") + len(END)
     turns = turns.withColumn("from", (F.sum(whole).over(w) - F.length("text") - len(END) + 1).cast("int"))
     piece = F.struct((-F.col("up")).alias("k"), F.concat("head", "text", F.lit(END)).alias("s"), "own", "from", F.length("text").alias("n"))
-    out = turns.groupBy("tree", "leaf").agg(F.sum("score").alias("score"), F.array_sort(F.collect_list(piece)).alias("t"))
-    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "leaf")))
-    if best is not None:
-        out = out.where(F.col("rank") <= best)
+    out = turns.groupBy("tree", "leaf").agg(F.first("sum").alias("score"), F.first("rank").alias("rank"), F.array_sort(F.collect_list(piece)).alias("t"))
     spans = F.transform(F.filter("t", lambda x: x["own"]), lambda x: F.struct(x["from"].alias("from"), x["n"].alias("n")))
     return out.select("tree", "leaf", "score", "rank", F.array_join(F.transform("t", lambda x: x["s"]), "").alias("formatted"), spans.alias("loss"))
 
@@ -152,7 +160,7 @@ WITH c AS (
 ), e AS (
   SELECT *, replace(replace(replace(replace(role, '\', '\e'), '<', '\l'), '[', '\b'), chr(10), '\n') AS er,
     replace(replace(replace(text, '\', '\e'), '<', '\l'), '[', '\b') AS et,
-    lower(role) IN ('assistant', 'gpt', 'bot') AS own
+    role = 'assistant' AS own
   FROM c
 ), g AS (
   SELECT conv_id, count(*) AS n_turns,

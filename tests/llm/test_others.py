@@ -119,6 +119,22 @@ def test_chat_digests(spark):
     assert chat.digests(df.limit(0)).count() == 0
 
 
+def test_chat_long_text_and_clashing_columns(spark):
+    long = "x[<\\\n" * 100_000
+    df = spark.createDataFrame([(1, 0, "user", long, 5, 6), (1, 1, "assistant", long, 5, 6), (1, 2, "gpt", "no", 5, 6)], "conv_id long, turn long, role string, text string, tree int, leaf int")
+    r = chat.digests(df).first()
+    assert (r.n_turns, r.loss_chars, r.loss_sha256) == (3, len(long), hashlib.sha256(long.encode()).hexdigest())
+
+
+def test_chat_ranks_before_it_moves_text(spark):
+    """Of a bushy tree only the chosen branch's texts are joined."""
+    rows = [(1, 0, None, 0.0, "user", "root")] + [(1, i, 0, float(i == 77), "assistant", f"t{i}") for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, score double, role string, text string")
+    got = chat.format_trees(df).select("leaf", "score", "rank", chat.parse(chat.F.col("formatted")).alias("t")).collect()
+    assert [(x.leaf, x.score, x["rank"], [t.text for t in x.t]) for x in got] == [(77, 1.0, 1, ["root", "t77"])]
+    assert chat.format_trees(df, 3).count() == 3
+
+
 def test_chat_trees(spark):
     nodes = [(1, 1, None, 0.0, "user", "q"), (1, 2, 1, 1.0, "assistant", "a"), (1, 3, 1, 5.0, "assistant", "b"), (1, 4, 2, 9.0, "user", "c"), (2, 7, 8, 1.0, "user", "x"), (2, 8, 7, 1.0, "user", "y"), (2, 9, 8, 1.0, "user", "z"), (3, 1, 77, None, "user", "lost parent")]
     df = spark.createDataFrame(nodes, "tree long, node long, parent long, score double, role string, text string")
