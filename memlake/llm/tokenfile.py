@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import gc
 import os
+import re
+import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,62 +26,80 @@ from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import local_path, rebatched, shared_dir, small_batches
 
 MAGIC = 0x4D4C544F4B310A
-#: Runs in either of a worker's two caches; bounds memory, not results.
-CACHE = 300_000
-#: Longer runs (characters) aren't kept in the caches.
+#: Pieces in either of a worker's two caches; bounds memory, not results.
+CACHE = 500_000
+#: Longer pieces (characters) aren't kept in the caches.
 KEPT = 1 << 10
-#: Bytes of text that are encoded together, about: a run that is in it often is looked up once.
+#: Bytes of text that are encoded together, about: a piece that is in it often is looked up once.
 TOGETHER = 8 << 20
 #: Text of a part, about, as stored in the input's files.
 PART_BYTES = 128 << 20
-#: White space beyond ASCII, in UTF-8: by the first byte, the rest.
-WIDE_SPACE = {0xC2: (b"\x85", b"\xa0"), 0xE1: (b"\x9a\x80",), 0xE2: (*(b"\x80" + bytes([x]) for x in (*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF)), b"\x81\x9f"), 0xE3: (b"\x80\x80",)}
-#: The pieces that byte-level files of this kind split a text into; no token crosses their ends.
-PIECES = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: From here on Unicode tables may differ by version: such runs go to the library whole.
-SURE = "\u0250"
+#: White space in Unicode, beyond that below U+0250.
+WIDE_SPACE = (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+#: From here on Unicode tables may differ by version: runs with such characters go to the library whole.
+SURE = 0x250
 
-_ASCII_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+_WHITE, _LETTER, _NUMBER, _OTHER, _UNSURE = range(5)
 
 
-def run_starts(raw: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """Where runs start: at white space after anything else, and where (non-empty) documents do.
+def _classes() -> np.ndarray:
+    """The class of each code point below SURE, and one for all above."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(SURE)]
+    out = [_LETTER if k == "L" else _NUMBER if k == "N" else _OTHER for k in kinds] + [_UNSURE]
+    for c in (*range(9, 14), 32, 0x85, 0xA0):
+        out[c] = _WHITE
+    return np.array(out, np.uint8)
 
-    A run of white space and the rest up to the next is encoded alike wherever it stands.
-    ``raw``: UTF-8 bytes of all documents, ``docs``: their first bytes and the end.
-    """
-    space = _ASCII_SPACE[raw]
-    if len(raw) and raw.max() >= 0x80:
-        for first, rests in WIDE_SPACE.items():
-            at = np.flatnonzero(raw == first)
-            for rest in rests if len(at) else ():
-                found = at
-                for k, x in enumerate(rest, 1):
-                    found = found[found + k < len(raw)]
-                    found = found[raw[found + k] == x]
-                for k in range(len(rest) + 1):
-                    space[found + k] = True
-    start = np.empty(len(raw), bool)
-    start[:1] = True
-    np.greater(space[1:], space[:-1], out=start[1:])
-    start[docs[:-1][np.diff(docs) > 0]] = True
-    return np.flatnonzero(start)
-
-
-class RunEncoder:
-    """The tokenizers library behind a cache of runs (white space and the text up to the next).
-
-    For byte-level files that split by their usual pattern no token crosses the end of a run,
-    nor that of a piece in it, so a text's ids are those of its runs, end to end, and words
-    that differ in the marks after them are encoded once.
+
+_CLASS = _classes()
+
+
+def starts(text: str, docs: np.ndarray, added: list[str]) -> np.ndarray:
+    """Where the pieces of the documents start that are encoded alike wherever they stand, in characters.
+
+    Byte-level files of this kind split a text into letters, numbers or other marks, each with
+    a space before them or not, and white space; no token crosses the ends of such pieces.
+    A run (white space and the rest up to the next) stays whole if it has an apostrophe, as
+    English endings are pieces of their own, an added token or a character that isn't SURE.
+    ``docs``: first characters of the documents, and the end.
     """
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _CLASS[np.minimum(code, SURE)]
+    if not text.isascii():
+        kind[np.isin(code, WIDE_SPACE)] = _WHITE
+    first = np.zeros(len(code) + 1, bool)
+    first[docs] = True
+    white = kind == _WHITE
+    run = first[:-1].copy()
+    run[1:] |= white[1:] & ~white[:-1]
+    # the last white space before anything else starts a piece; unless it is a space it is one
+    last = np.flatnonzero(white[:-1] & ~white[1:] & ~first[1:-1])
+    cut = run.copy()
+    cut[1:] |= (kind[1:] != kind[:-1]) & ~white[1:] & ~white[:-1]
+    cut[last] = True
+    cut[last + 1] |= code[last] != 32
+    whole = np.flatnonzero((kind == _UNSURE) | (code == 39))
+    for t in added:
+        if t in text:
+            whole = np.append(whole, [m.start() for m in re.finditer(re.escape(t), text)])
+    if len(whole):
+        at = np.flatnonzero(run)
+        k = np.unique(np.searchsorted(at, whole, "right") - 1)
+        edge = np.zeros(len(code) + 1, np.int8)
+        edge[at[k] + 1] += 1
+        edge[np.append(at, len(code))[k + 1]] -= 1
+        cut &= np.cumsum(edge[:-1], dtype=np.int8) <= 0
+    return np.flatnonzero(cut)
+
+
+class PieceEncoder:
+    """The tokenizers library behind a cache of pieces: a text's ids are those of its pieces, end to end."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -90,47 +110,40 @@ class RunEncoder:
         self.tok.no_padding()
         self.kind = np.dtype("<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4")
         # letters, with a space before them or not, are a piece: nothing to split
-        self.of_piece = Tokenizer.from_str(self.tok.to_str())
-        self.of_piece.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.pieces = regex.compile(PIECES).findall
+        self.of_letters = Tokenizer.from_str(self.tok.to_str())
+        self.of_letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.cache: dict[str, bytes] = {}
         self.last: dict[str, bytes] = {}
 
-    def _learn(self, runs: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         cache, last = self.cache, self.last
         if last:
-            cache.update((r, last[r]) for r in runs if r in last)
-            runs = [r for r in runs if r not in cache]
-        letters, whole, split = [], [], []
-        for r in runs:
-            if (r[1:] if r[0] == " " else r).isalpha():
-                letters.append(r)
-            elif not (r.isascii() or max(r) < SURE) or any(t in r for t in self.added):
-                whole.append(r)
-            else:
-                split.append((r, self.pieces(r)))
-        single = {x for _, p in split for x in p if x not in cache}
-        letters += {x for x in single if x[-1].isalpha() and x[0] != "'"}.difference(letters)
-        whole += single.difference(letters)
-        ids = [e.ids for t, x in ((self.of_piece, letters), (self.tok, whole)) for e in t.encode_batch_fast(x, add_special_tokens=False)]
+            cache.update((r, last[r]) for r in pieces if r in last)
+            pieces = [r for r in pieces if r not in cache]
+        letters, rest = [], []
+        for r in pieces:
+            w = r[1:] if r[0] == " " else r
+            (letters if w.isalpha() and (w.isascii() or ord(max(w)) < SURE) else rest).append(r)
+        ids = [e.ids for t, x in ((self.of_letters, letters), (self.tok, rest)) for e in t.encode_batch_fast(x, add_special_tokens=False)]
         size = self.kind.itemsize
-        ends = list(accumulate(size * len(x) for x in ids))
+        ends = list(accumulate([size * len(x) for x in ids]))
         flat = np.fromiter(chain.from_iterable(ids), self.kind).tobytes()
-        cache.update((r, flat[a:b]) for r, a, b in zip([*letters, *whole], [0, *ends], ends, strict=False))
-        for r, p in split:
-            cache[r] = b"".join([cache[x] for x in p])
+        cache.update(zip([*letters, *rest], [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def encode_column(self, col: pa.Array) -> list[memoryview]:
         """Ids of each text (null: empty) of a string column, as bytes."""
         col = col.fill_null("")
-        first = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int32)
+        if not len(col):
+            return []
+        first = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1]
         raw = np.frombuffer(col.buffers()[2] or b"", np.uint8)[first[0] : first[-1]]
         docs = (first - first[0]).astype(np.int64)
-        start = run_starts(raw, docs)
-        edges = np.append(start, len(raw)).astype(np.int32)
-        runs = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
-        distinct = runs.dictionary.to_pylist()
+        place = None if len(raw) == 0 or raw.max() < 0x80 else np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        start = starts(str(raw.data, "utf-8"), docs if place is None else np.searchsorted(place, docs), self.added)
+        edges = np.append(start if place is None else place[start], len(raw)).astype(np.int32)
+        pieces = pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
         if len(self.cache) > CACHE:
             self.cache, self.last = {}, self.cache
         got = list(map(self.cache.get, distinct))
@@ -141,10 +154,10 @@ class RunEncoder:
             for r in new:
                 if len(r) > KEPT:
                     del self.cache[r]
-        taken = pa.array(got, pa.large_binary()).take(runs.indices)
+        taken = pa.array(got, pa.large_binary()).take(pieces.indices)
         at = np.frombuffer(taken.buffers()[1], np.int64)[: len(taken) + 1] if len(taken) else np.zeros(1, np.int64)
         ids = memoryview(taken.buffers()[2] or b"") if len(taken) else memoryview(b"")
-        ends = at[np.searchsorted(start, docs)].tolist()
+        ends = at[np.searchsorted(edges[:-1], docs)].tolist()
         return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
@@ -163,8 +176,8 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int = TOGETHER) -> Iterato
 
 
 @lru_cache(maxsize=2)
-def load(path: str) -> RunEncoder:
-    return RunEncoder(path)
+def load(path: str) -> PieceEncoder:
+    return PieceEncoder(path)
 
 
 def _parts(docs: DataFrame) -> int:

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -60,6 +61,19 @@ def test_bpe_of_long_words():
     assert time.perf_counter() - began < 60
 
 
+def test_pieces_of_odd_texts(monkeypatch):
+    monkeypatch.setattr(tokenfile, "CACHE", 200)
+    e, lib = tokenfile.PieceEncoder(public_tokenizers.path("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    r = random.Random(12)
+    pool = ["a", "B", "é", "ß", "7", "²", "½", "'", "'s", "'ll", "’", ",", "&&", "-", " ", " ", "  ", "\n", "\t", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u1680", "一", "я", "\u0301", "😀", "<|endoftext|>", "\u200b", "ª"]
+    texts = ["".join(r.choice(pool) for _ in range(r.randrange(12))) for _ in range(6000)] + [None, "", "x" * 5000]
+    for i in range(0, len(texts), 900):
+        some = texts[i : i + 900]
+        for t, x in zip(some, e.encode_column(pa.array(some, pa.string())), strict=True):
+            assert np.frombuffer(x, e.kind).tolist() == lib.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert e.encode_column(pa.array([], pa.string())) == [] and not [x for x in e.cache if len(x) > tokenfile.KEPT]
+
+
 def test_token_files(spark):
     texts, lib = some_texts(), library("byte_bpe_50k.json")
     rows = [(i, t) for i, t in enumerate(texts)] + [(3, "again"), (3, "again"), (None, "no id")]
