@@ -322,3 +322,61 @@ def test_html_of_ordinary_class_names(spark):
     rows = [(i, "http://h.example/" + str(i), p) for i, p in enumerate([slash, slash, marked])] + [(3, "http://m.example/", marked)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert [r.text for r in html.main_text(df).orderBy("page_id").collect()] == [text] * 4
+
+
+def test_html_keeps_the_article():
+    words = "Some words of the article itself. " * 6
+    text = " ".join(words.split())
+    pages = [
+        f'<body class="single right-sidebar"><div class="right-sidebar">Side.</div><div class=x><p>{words}</p></div></body>',
+        f'<div class="overflow-hidden"><article><p>{words}</p></article></div><div class="cookie-banner">We use cookies.</div>',
+        f'<body><form action="/"><div id=content><p>{words}</p></div><div class=related>More</div></form></body>',
+        f'<body class="nav-open"><div class="page-with-sidebar"><p>{words}</p><div class=sidebar>Side.</div></div></body>',
+        f'<body><article><p>{words}</p><div class="comments">' + "<p>a reader says much about it all</p>" * 40 + "</div></article></body>",
+        f'<body><div class=post><p>{words}</p></div><div id="comments">' + "<p>a reader says much about it all</p>" * 40 + "</div></body>",
+        f'<body><div class=post><p>{words}</p></div><form><p>Your comment</p></form></body>',
+    ]
+    assert [html.extract(p, None) for p in pages] == [text] * len(pages)
+    short = f'<body><div class="ad">{words}</div><article><h1>Title</h1><p>Short.</article></body>'
+    assert html.extract(short, None) == "Title\nShort."
+    titled = [
+        f'<body><article><div class="entry-header"><h1>Title</h1></div><p>{words}</p></article></body>',
+        f'<body><nav>x</nav><h1>Title</h1><div class=post><p>{words}</p></div></body>',
+        f'<body><article><header><h1>Title</h1></header><p>{words}</p></article></body>',
+    ]
+    assert [html.extract(p, None) for p in titled] == [f"Title\n{text}"] * 3
+
+
+def test_html_of_deep_and_long_pages():
+    import resource
+
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    for page in ('<div class="abcdefgh">' * 100_000 + "text" + "</div>" * 100_000, "<b>" * 60_000 + "text" + "</i></div>" * 60_000, "<i><div>" + "<b>" * 60_000 + "</i>" * 60_000 + "text", "<p>" + "text " * 400_000):
+        began = time.perf_counter()
+        assert html.extract(page, None).startswith("text")
+        assert time.perf_counter() - began < 20
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 300_000
+
+
+def test_html_consensus_of_mixed_templates(spark):
+    """Hosts with several templates, noise and long boilerplate; every page's text is known."""
+    r = random.Random(5)
+    say = lambda n: " ".join("".join(r.choice(["ba", "to", "ri", "mel"]) for _ in range(r.randrange(1, 4))) for _ in range(n))
+    templates = {
+        "a.example": lambda t, ps: f'<body><div class="site-header">{say(6)}</div><div class="left-sidebar"><p>{say(30)}</p></div><div class="col c{r.randrange(9)}"><h1>{t}</h1>{ps}</div><div class=footer>{say(9)}</div></body>',
+        "b.example": lambda t, ps: f'<body class="has-sidebar"><header><a href=/>{say(3)}</a></header><main><article id=post-{r.randrange(99)}><h1>{t}</h1>{ps}<div class="share-links">{say(4)}</div></article></main><aside>{say(40)}</aside></body>',
+        "c.example": lambda t, ps: f'<body><form id=aspnet><div id=wrap><div class=story><h1>{t}</h1>{ps}</div><div class="teasers"><p>{say(r.choice([5, 60]))}</p></div></div></form></body>',
+    }
+    rows, want = [], {}
+    for i in range(240):
+        host = list(templates)[i % 3]
+        title, parts = say(5), [say(r.choice([4, 30, 80])) for _ in range(r.randrange(1, 5))]
+        if i % 3 == 2:
+            parts += [say(30)] * (i % 7 > 1)
+        rows.append((i, f"https://{host}/{i}", templates[host](title, "".join(f"<p>{p}</p>" for p in parts))))
+        want[i] = "\n".join([title, *parts])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {x.page_id: x.text for x in html.main_text(df).collect()}
+    alone = {i: html.extract(h, None) for i, _, h in rows}
+    right = sum(got[i] == want[i] for i in want)
+    assert right >= 0.98 * len(want) and right > sum(alone[i] == want[i] for i in want)
