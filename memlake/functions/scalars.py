@@ -14,6 +14,28 @@ def cache_key(text: Column) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, 16)
 
 
+def crc32(data: Column) -> Column:
+    """The CRC-32 of a text's UTF-8 bytes."""
+    return F.crc32(data.cast("binary"))
+
+
+def fnv1a(data: Column) -> Column:
+    """The 64-bit FNV-1a hash of a text's UTF-8 bytes, as a signed long (offset basis and prime are fixed values)."""
+    basis, prime = 0xCBF29CE484222325 - (1 << 64), 0x100000001B3
+    low = (1 << 32) - 1
+    octets = F.transform(F.filter(F.split(F.regexp_replace(F.hex(data.cast("binary")), "(..)", "$1 "), " "), lambda x: x != ""), lambda x: F.conv(x, 16, 10).cast("long"))
+
+    def step(h: Column, octet: Column) -> Column:
+        # the prime is 2**40 + 435: products modulo 2**64 by halves, as longs must not overflow
+        x = h.bitwiseXOR(octet)
+        small, large = x.bitwiseAND(F.lit(low)), F.shiftrightunsigned(x, 32)
+        first = small * F.lit(prime & low)
+        upper = (F.shiftrightunsigned(first, 32) + large * F.lit(prime & low) + small * F.lit(prime >> 32)).bitwiseAND(F.lit(low))
+        return F.shiftleft(upper, 32).bitwiseOR(first.bitwiseAND(F.lit(low)))
+
+    return F.aggregate(octets, F.lit(basis).cast("long"), step)
+
+
 def truncate(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("..."))).otherwise(text)
 

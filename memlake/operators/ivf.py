@@ -8,7 +8,7 @@ inside them, and scores exactly.
 from __future__ import annotations
 
 import json
-import time
+import zlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, replace
 from typing import Any
@@ -86,7 +86,8 @@ def probes_needed(q: np.ndarray, rows: np.ndarray, centroids: np.ndarray, metric
 
 
 class IvfIndex:
-    """An index at a path: ``cells/`` by cell and ``deleted/`` ids, both only appended to and stamped with a time, and ``manifest/`` with centroids and settings."""
+    """An index at a path: ``cells/`` by cell and ``deleted/`` ids, both only appended to and stamped with
+    a count of changes, and ``manifest/`` with centroids, settings and their checksum."""
 
     def __init__(self, spark, path: str, centroids: np.ndarray, metric: Metric, config: AnnConfig):
         self.spark, self.path, self.centroids, self.metric, self.config = spark, path, centroids, metric, config
@@ -117,18 +118,21 @@ class IvfIndex:
             data = np.random.default_rng(7).permutation(data)
             config = config.with_probes(max(config.probes, probes_needed(data[:SAMPLED_QUERIES], data, centroids, metric, config.recall)))
         index = cls(spark, path, centroids, metric, config)
-        index._assign(rows).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+        index._write(index._assign(rows, 0), "overwrite")
         spark.createDataFrame([], "id string, at long").write.mode("overwrite").parquet(f"{path}/deleted")
         info = json.dumps({"metric": metric.value, "probes": config.probes, "rounds": config.rounds, "centroids": centroids.tolist()})
-        spark.createDataFrame([(info,)], "manifest string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+        spark.createDataFrame([(info, zlib.crc32(info.encode()))], "manifest string, crc32 long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
         return index
 
     @classmethod
     def load(cls, spark, path: str) -> IvfIndex:
         try:
-            info = json.loads(spark.read.parquet(f"{path}/manifest").first()["manifest"])
+            row = spark.read.parquet(f"{path}/manifest").first()
+            info = json.loads(row["manifest"])
         except Exception as e:
             raise Corruption(f"no index at {path}") from e
+        if zlib.crc32(row["manifest"].encode()) != row["crc32"]:
+            raise Corruption(f"the manifest at {path} doesn't fit its checksum")
         return cls(spark, path, np.array(info["centroids"]), Metric.parse(info["metric"]), AnnConfig(probes=info["probes"], rounds=info["rounds"]))
 
     @classmethod
@@ -138,9 +142,21 @@ class IvfIndex:
         except Corruption:
             return cls.build(rows, path, metric, config)
 
-    def _assign(self, rows: DataFrame) -> DataFrame:
+    def _write(self, filed: DataFrame, mode: str) -> None:
+        """Rows of a cell meet before they are written, in so many tasks that a large cell has several:
+        a file for each task and cell would be too many."""
+        parts = max(len(self.centroids), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        salt = F.pmod(F.xxhash64("id"), F.lit(max(1, parts // len(self.centroids))))
+        filed.repartition(parts, "cell", salt).write.mode(mode).partitionBy("cell").parquet(f"{self.path}/cells")
+
+    def _next(self) -> int:
+        """The number of the next change: beyond all that rows and deletions are stamped with."""
+        seen = [self.spark.read.parquet(f"{self.path}/{t}").agg(F.max("at")).first()[0] for t in ("cells", "deleted")]
+        return 1 + max(x or 0 for x in seen)
+
+    def _assign(self, rows: DataFrame, at: int) -> DataFrame:
         c = self.centroids
-        schema, at = "id string, vector array<float>, metadata string, at long, cell int", time.time_ns()
+        schema = "id string, vector array<float>, metadata string, at long, cell int"
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in parts:
@@ -156,16 +172,17 @@ class IvfIndex:
         return self.spark.read.parquet(f"{self.path}/cells").join(gone, "id", "left").where(F.col("gone").isNull() | (F.col("at") > F.col("gone"))).drop("gone", "at")
 
     def insert(self, rows: DataFrame) -> int:
-        """File rows whose ids aren't indexed; their number. A deleted id may come back."""
-        new = self._assign(rows.join(self.rows().select("id"), "id", "left_anti")).persist()
+        """File rows whose ids aren't indexed and whose vectors can be searched; their number. A deleted id may come back."""
+        rows = rows.where(V.searchable(F.col("vector")))
+        new = self._assign(rows.join(self.rows().select("id"), "id", "left_anti"), self._next()).persist()
         n = new.count()
-        new.write.mode("append").partitionBy("cell").parquet(f"{self.path}/cells")
+        self._write(new, "append")
         new.unpersist()
         return n
 
     def delete(self, ids: DataFrame) -> None:
         """Ids are no longer found, and their rows go with the next rewrite."""
-        ids.select(F.col("id").cast("string").alias("id"), F.lit(time.time_ns()).alias("at")).distinct().write.mode("append").parquet(f"{self.path}/deleted")
+        ids.select(F.col("id").cast("string").alias("id"), F.lit(self._next()).cast("long").alias("at")).distinct().write.mode("append").parquet(f"{self.path}/deleted")
 
     def deleted_count(self) -> int:
         return self.spark.read.parquet(f"{self.path}/deleted").select("id").distinct().count()

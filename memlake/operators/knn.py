@@ -6,17 +6,20 @@ from collections.abc import Iterator, Sequence
 from typing import Any
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions import vector as V
 from ..functions.jsonfilter import compile_filter
 from ..types import InvalidInput, Metric
 
-#: Queries that are scored against one pass over the table; their vectors are sent to all executors.
-QUERY_BLOCK = 4096
+#: So many queries, and bytes of their vectors, are sent to all executors; more meet the rows in a grid of cells.
+QUERY_BLOCK, QUERY_BYTES = 4096, 64 << 20
+#: Bytes of a grid cell's rows, and of the scores that are held at a time, about.
+CELL_BYTES, SCORE_BYTES = 128 << 20, 32 << 20
 #: Rows that a budget is dealt to at a time on the driver.
 BUDGET_CHUNK = 1000
 
@@ -49,88 +52,123 @@ def search(rows: DataFrame, query: Sequence[float], k: int = 10, metric: Metric
     return scored.orderBy(by, "id").limit(k)
 
 
-def _block_top(q: np.ndarray, ids: np.ndarray, m: np.ndarray, k: int, metric: Metric) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    s = q @ m.T
-    if metric is Metric.L2:
-        s = -(np.square(q).sum(1)[:, None] - 2 * s + np.square(m).sum(1)[None])
-    for i, row in enumerate(s):
-        rows = np.flatnonzero(row >= np.partition(row, -k)[-k] - 1e-9) if len(row) > k else np.arange(len(row))
-        # the few that are left are scored component by component: equal vectors get equal scores
-        value = np.square(m[rows] - q[i]).sum(1) if metric is Metric.L2 else (m[rows] * q[i]).sum(1)
-        best = np.lexsort((ids[rows], value if metric is Metric.L2 else -value))[:k]
-        yield i, ids[rows][best], value[best]
+def _best(q: np.ndarray, ids: np.ndarray, value: np.ndarray, k: int, metric: Metric) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best (query, id, value) of each query, ties to the smaller id."""
+    order = np.lexsort((ids, value if metric is Metric.L2 else -value, q))
+    q, ids, value = q[order], ids[order], value[order]
+    first = np.flatnonzero(np.diff(q, prepend=-1))
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    return q[rank < k], ids[rank < k], value[rank < k]
+
+
+class _Tops:
+    """The k best rows so far of each of some queries."""
+
+    def __init__(self, q: np.ndarray, k: int, metric: Metric):
+        self.q, self.k, self.metric = q, k, metric
+        self.found: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, int), np.zeros(0, object), np.zeros(0))
+        # a query's k-th best so far, larger is better: rows below it needn't be looked at
+        self.bound = np.full(len(q), -np.inf)
+
+    def add(self, ids: np.ndarray, m: np.ndarray) -> None:
+        parts = [self.found]
+        step = max(1, SCORE_BYTES // (8 * max(1, len(ids))))
+        for i in range(0, len(self.q), step):
+            q = self.q[i : i + step]
+            s = q @ m.T
+            if self.metric is Metric.L2:
+                s = 2 * s - np.square(m).sum(1)[None] - np.square(q).sum(1)[:, None]
+            if np.isnan(s.sum()):
+                s = np.where(np.isnan(s), -np.inf, s)
+            low = self.bound[i : i + step]
+            if len(ids) > self.k and not np.isfinite(low).all():
+                low = np.maximum(low, np.partition(s, -self.k, axis=1)[:, -self.k])
+            slack = 1e-9 * (1 + np.abs(np.where(np.isfinite(low), low, 0)))
+            a, b = np.nonzero((s >= (low - slack)[:, None]) & (s > -np.inf))
+            # the few that are left are scored component by component: equal vectors get equal scores
+            value = np.empty(len(a))
+            for j in range(0, len(a), 1 << 14):
+                x, y = q[a[j : j + (1 << 14)]], m[b[j : j + (1 << 14)]]
+                value[j : j + (1 << 14)] = np.square(y - x).sum(1) if self.metric is Metric.L2 else (x * y).sum(1)
+            parts.append((a + i, ids[b], value))
+        self.found = _best(*(np.concatenate(x) for x in zip(*parts, strict=True)), self.k, self.metric)
+        n = np.bincount(self.found[0], minlength=len(self.q))
+        full = np.flatnonzero(n == self.k)
+        last = self.found[2][np.cumsum(n)[full] - 1]
+        self.bound[full] = -last if self.metric is Metric.L2 else last
+
+
+def _vectors(col: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix."""
+    return col.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(col), -1)
 
 
 def batch_search(queries: DataFrame, rows: DataFrame, k: int = 10, metric: Metric | str = Metric.COSINE, where: Any = None) -> DataFrame:
     """``qid, id, score, rank`` of each query's k best rows. ``queries``: qid, vector; ``rows``: id, vector.
 
-    Queries go to the executors in blocks of a fixed size; each batch of rows keeps k
-    candidates for each query, so that only these are shuffled to be ranked.
+    A bounded set of queries goes to all executors, and each partition of the rows keeps k
+    candidates for each query, so that only these are shuffled to be ranked. More queries and
+    the rows are dealt by hash to the cells of a grid, in which each pair meets once.
     """
     metric = Metric.parse(metric)
     if k < 1:
         raise InvalidInput("k must be positive")
     spark = rows.sparkSession
     unit = V.normalize(V.doubles("vector")) if metric is Metric.COSINE else V.doubles("vector")
-    asked = queries.select("qid", unit.alias("vector")).orderBy("qid").toLocalIterator()
-    found = rows.where(V.searchable(F.col("vector")) & _predicate(where, "core")).select("id", V.doubles("vector").alias("vector"))
-    kinds = {"qid": queries.schema["qid"].dataType.simpleString(), "id": rows.schema["id"].dataType.simpleString()}
-    schema = f"qid {kinds['qid']}, id {kinds['id']}, score double"
-
-    def one(block: list) -> DataFrame:
-        held = spark.sparkContext.broadcast(([r["qid"] for r in block], np.array([r["vector"] for r in block], float)))
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    asked = queries.select("qid", unit.alias("vector")).where(F.col("vector").isNotNull())
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
+    kinds = {"qid": queries.schema["qid"].dataType, "id": rows.schema["id"].dataType}
+    schema = StructType([StructField("qid", kinds["qid"]), StructField("id", kinds["id"]), StructField("score", DoubleType())])
+    if not size["n"]:
+        return spark.createDataFrame([], schema).withColumn("rank", F.lit(1).cast("long"))
+    dim = size["d"]
+    asked = asked.where(F.size("vector") == dim)
+    found = rows.where(V.searchable(F.col("vector")) & (F.size("vector") == dim) & _predicate(where, "core")).select("id", "vector")
+    arrow = {c: pa.field(c, to_arrow_type(t)).type for c, t in kinds.items()}
+
+    def result(names: np.ndarray, tops: _Tops) -> pa.RecordBatch:
+        q, ids, value = tops.found
+        return pa.RecordBatch.from_arrays([pa.array(names[q].tolist(), arrow["qid"]), pa.array(ids.tolist(), arrow["id"]), pa.array(value)], names=["qid", "id", "score"])
+
+    if size["n"] <= QUERY_BLOCK and size["n"] * dim * 8 <= QUERY_BYTES:
+        block = asked.orderBy("qid").collect()
+        names = np.empty(len(block), object)
+        names[:] = [r["qid"] for r in block]
+        held = spark.sparkContext.broadcast((names, np.array([r["vector"] for r in block], float)))
+
+        def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, q = held.value
+            tops = _Tops(q, k, metric)
             for p in parts:
-                if not len(p):
-                    continue
-                ids, m = p["id"].to_numpy(), np.stack(p["vector"].to_numpy())
-                for i, who, value in _block_top(q, ids, m, k, metric):
-                    yield pd.DataFrame({"qid": [names[i]] * len(who), "id": who, "score": value})
-
-        return found.mapInPandas(run, schema)
-
-    parts: list[DataFrame] = []
-    block: list = []
-    for r in asked:
-        block.append(r)
-        if len(block) == QUERY_BLOCK:
-            parts.append(one(block))
-            block = []
-    if block or not parts:
-        parts.append(one(block)) if block else parts.append(spark.createDataFrame([], schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+                if p.num_rows:
+                    tops.add(p.column("id").to_numpy(zero_copy_only=False), _vectors(p.column("vector")))
+            yield result(names, tops)
+
+        out = found.mapInArrow(run, schema)
+    else:
+        across = max(1, -(-size["n"] // QUERY_BLOCK), -(-size["n"] * dim * 8 // QUERY_BYTES))
+        down = max(1, -(-found.count() * dim * 8 // CELL_BYTES))
+        cells = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+        left = asked.withColumn("r", F.pmod(F.xxhash64("qid"), F.lit(across))).withColumn("c", cells(down))
+        right = found.withColumn("c", F.pmod(F.xxhash64("id", "vector"), F.lit(down))).withColumn("r", cells(across))
+
+        def cell(a: pa.Table, b: pa.Table) -> pa.Table:
+            a, b = a.combine_chunks(), b.combine_chunks()
+            tops = _Tops(_vectors(a.column("vector").combine_chunks()), k, metric) if a.num_rows else _Tops(np.zeros((0, dim)), k, metric)
+            for p in b.to_batches(10_000) if a.num_rows else ():
+                tops.add(p.column("id").to_numpy(zero_copy_only=False), _vectors(p.column("vector")))
+            names = np.empty(a.num_rows, object)
+            names[:] = a.column("qid").to_pylist()
+            return pa.Table.from_batches([result(names, tops)])
+
+        out = left.groupBy("r", "c").cogroup(right.groupBy("r", "c")).applyInArrow(cell, schema)
     w = Window.partitionBy("qid").orderBy(V.order(metric), "id")
     return out.where(~F.isnan("score")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def search_join(queries: DataFrame, rows: DataFrame, k: int, metric: Metric | str = Metric.COSINE) -> DataFrame:
-    """As :func:`batch_search`, by column functions alone: queries are sent to all rows, in blocks.
-
-    More queries than a block holds are dealt by hash to blocks of about three quarters of it.
-    """
-    metric = Metric.parse(metric)
-    n = queries.count()
-    asked = queries.select("qid", (V.normalize(V.doubles("vector")) if metric is Metric.COSINE else V.doubles("vector")).alias("_q"))
-    found = rows.where(V.searchable(F.col("vector"))).select("id", "vector")
-    w = Window.partitionBy("qid").orderBy(V.order(metric), "id")
-
-    def one(q: DataFrame) -> DataFrame:
-        scored = found.crossJoin(F.broadcast(q)).select("qid", "id", V.score(metric, V.doubles("vector"), F.col("_q")).alias("score"))
-        return scored.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
-
-    if n <= QUERY_BLOCK:
-        return one(asked)
-    blocks = -(-4 * n // (3 * QUERY_BLOCK))
-    # all rows of a query fall into one block, so each block is ranked for itself
-    block = F.pmod(F.xxhash64("qid"), F.lit(blocks))
-    out = one(asked.where(block == 0))
-    for b in range(1, blocks):
-        out = out.unionByName(one(asked.where(block == b)))
-    return out
+    """The join of queries with their k best rows: :func:`batch_search` without a filter."""
+    return batch_search(queries, rows, k, metric)
 
 
 def merge_top(parts: list[DataFrame], k: int, metric: Metric | str = Metric.COSINE) -> DataFrame:

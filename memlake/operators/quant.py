@@ -7,7 +7,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
@@ -18,8 +19,31 @@ TRAIN_ROWS, CENTROIDS, ROUNDS = 10_000, 256, 10
 
 
 def fit_scalar(rows: DataFrame, vec: str = "vector") -> DataFrame:
-    """``i, low, high, scale``: range of each dimension in 255 steps; scale 1 where there is no range."""
-    each = rows.select(F.posexplode(V.doubles(vec)).alias("i", "x")).groupBy("i").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    """``i, low, high, scale``: range of each dimension in 255 steps; scale 1 where there is no range.
+
+    Each partition of the rows gives one row a dimension, so that no component is shuffled.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        low: dict[int, float] = {}
+        high: dict[int, float] = {}
+        for p in parts:
+            v = p.column("v")
+            lens = np.diff(v.offsets.to_numpy())
+            flat = v.flatten().to_numpy(zero_copy_only=False)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
+            keep = ~np.isnan(flat)
+            if not keep.any():
+                continue
+            small, large = np.full(lens.max(), np.inf), np.full(lens.max(), -np.inf)
+            np.minimum.at(small, at[keep], flat[keep])
+            np.maximum.at(large, at[keep], flat[keep])
+            for i, (x, y) in enumerate(zip(small.tolist(), large.tolist(), strict=True)):
+                low[i], high[i] = min(x, low.get(i, np.inf)), max(y, high.get(i, -np.inf))
+        found = sorted(i for i in low if low[i] <= high[i])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([low[i] for i in found], pa.float64()), pa.array([high[i] for i in found], pa.float64())], names=["i", "low", "high"])
+
+    each = rows.select(V.doubles(vec).alias("v")).where("v is not null").mapInArrow(run, "i int, low double, high double").groupBy("i").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     width = F.col("high") - F.col("low")
     return each.withColumn("scale", F.when(width < V.EPSILON, F.lit(1.0)).otherwise(width / 255))
 
@@ -126,6 +150,24 @@ class ProductQuantizer:
         q = np.asarray(query, float).reshape(len(self.books), 1, -1)
         return (self.books * q).sum(2) if higher_is_better else np.square(self.books - q).sum(2)
 
+    def books_frame(self, spark: SparkSession) -> DataFrame:
+        """``part, code, book``: the codebooks as a table."""
+        rows = [(j, c, x.tolist()) for j, b in enumerate(self.books) for c, x in enumerate(b)]
+        return spark.createDataFrame(rows, "part int, code int, book array<double>")
+
+    def asymmetric_distance(self, query, codes: Column, higher_is_better: bool = True) -> Column:
+        """The score of codes with an exact query from the centroids themselves, without a table: for a
+        few codes of a query. The same as :meth:`score`."""
+        books, q = self.books, np.asarray(query, float).reshape(len(self.books), -1)
+
+        @F.pandas_udf("double")
+        def decode(c: pd.Series) -> pd.Series:
+            k = np.stack(c.to_numpy()).astype(int)
+            near = books[np.arange(len(books)), k]
+            return pd.Series(((near * q) if higher_is_better else np.square(near - q)).sum((1, 2)))
+
+        return decode(codes)
+
     def score(self, query, codes: Column, higher_is_better: bool = True) -> Column:
         """The score of codes with an exact query, by table look-ups."""
         t = self.table(query, higher_is_better)

@@ -3,12 +3,16 @@
 Layout below a database's root::
 
     _registry/<collection>.json        dimensions, metric, creation time
-    <collection>/log/seq=<n>/          rows of one commit
+    <collection>/log/seq=<n>-<uuid>/   rows of one commit
     <collection>/commits/<n>.json      written last: a commit is visible when its marker is there
-
-A marker is created without overwriting, so two writers can't take one number. Readers pin
-the markers that they have listed (a snapshot), begin at the last compacted commit, and see
-for each id the row with the highest (seq, ord).
+    <collection>/index/<uuid>/         inverted lists, if the collection is searched through them
+    <collection>/index/current.json    which of them, and the commit that they are made of
+
+A marker is created without overwriting and names its folder, so two writers can't take one
+number, nor mix their files. Readers pin the markers that they have listed (a snapshot) and
+see for each id the row with the highest (seq, ord). The last compacted commit has each id
+once: it is read as it is, without the ids of later commits, and only the rows of those are
+aggregated.
 """
 
 from __future__ import annotations
@@ -17,18 +21,22 @@ import json
 import re
 import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
 from ..operators import knn
-from ..types import LOG, RESULT, CollectionExists, CollectionNotFound, DimensionMismatch, InvalidInput, Metric, TransactionConflict, check_dimensions
+from ..operators.ivf import PRESETS, AnnConfig, IvfIndex
+from ..types import LOG, RESULT, CollectionExists, CollectionNotFound, Corruption, DimensionMismatch, InvalidInput, Metric, TransactionConflict, check_dimensions
 
 _NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9_.\-]{0,127}")
+#: Candidates of the index for each result that is asked for.
+OVER_FETCH = 4
 #: Pending rows are flushed at so many, or when the oldest is this old (fixed values).
 WRITE_DEFAULT, WRITE_IMMEDIATE, WRITE_THROUGHPUT = (100, 0.1), (0, 0.0), (1000, 0.2)
 
@@ -63,6 +71,11 @@ class _Files:
         stream.write(bytearray(json.dumps(value).encode()))
         stream.close()
 
+    def replace(self, name: str, value: Any) -> None:
+        stream = self.fs.create(self._path(name), True)
+        stream.write(bytearray(json.dumps(value).encode()))
+        stream.close()
+
     def delete(self, name: str) -> bool:
         return bool(self.fs.delete(self._path(name), True))
 
@@ -87,8 +100,9 @@ class Database:
             raise InvalidInput(f"not a collection name: {name!r}")
         return name
 
-    def collection(self, name: str, dimensions: int, metric: Metric | str = Metric.COSINE, write: tuple[int, float] = WRITE_DEFAULT) -> Collection:
-        """Open, or create, a collection; other dimensions or another metric are errors."""
+    def collection(self, name: str, dimensions: int, metric: Metric | str = Metric.COSINE, write: tuple[int, float] = WRITE_DEFAULT, index: AnnConfig | str | None = None) -> Collection:
+        """Open, or create, a collection; other dimensions or another metric are errors. With an ``index``
+        it is searched through inverted lists, which are built and kept up to date on the way."""
         check_dimensions(dimensions)
         metric, entry = Metric.parse(metric), f"_registry/{self._checked(name)}.json"
         if self.files.exists(entry):
@@ -101,6 +115,8 @@ class Database:
             self.files.create(entry, {"name": name, "dimensions": dimensions, "metric": metric.value, "created_at": int(self.clock())})
         if name not in self._open:
             self._open[name] = Collection(self, name, dimensions, metric, write)
+        if index is not None:
+            self._open[name].index = PRESETS[index] if isinstance(index, str) else index
         return self._open[name]
 
     def get_collection(self, name: str) -> Collection:
@@ -119,8 +135,10 @@ class Database:
 
     def listing(self) -> DataFrame:
         """``name, count, dimensions, metric`` of all collections."""
-        rows = [(n, len(c), c.dimensions, c.metric.value) for n in self.collections() for c in [self.get_collection(n)]]
-        return self.spark.createDataFrame(rows, "name string, count long, dimensions int, metric string")
+        out = self.spark.createDataFrame([], "name string, count long, dimensions int, metric string")
+        for c in map(self.get_collection, self.collections()):
+            out = out.unionByName(c.live().agg(F.count("*").alias("count")).select(F.lit(c.name).alias("name"), "count", F.lit(c.dimensions).alias("dimensions"), F.lit(c.metric.value).alias("metric")))
+        return out
 
     def drop_collection(self, name: str) -> bool:
         if not self.files.exists(f"_registry/{self._checked(name)}.json"):
@@ -158,6 +176,7 @@ class Collection:
     def __init__(self, database: Database, name: str, dimensions: int, metric: Metric, write: tuple[int, float] = WRITE_DEFAULT):
         self.database, self.name, self.dimensions, self.metric, self.write = database, name, dimensions, metric, write
         self.spark, self.files = database.spark, database.files
+        self.index: AnnConfig | None = None
         self._pending: dict[str, tuple] = {}
         self._since = 0.0
 
@@ -169,22 +188,43 @@ class Collection:
     def commits(self) -> list[int]:
         return [int(x.removesuffix(".json")) for x in self.files.names(f"{self.name}/commits") if x.endswith(".json")]
 
+    def _marker(self, seq: int) -> dict[str, Any]:
+        return self.files.read(f"{self.name}/commits/{seq:012d}.json")
+
+    def _parts(self, at: int | None = None) -> tuple[list[str], list[str]]:
+        """Folders of the last compacted commit (none or one) and of the later ones."""
+        later: list[str] = []
+        for seq in reversed([s for s in self.commits() if at is None or s <= at]):
+            marker = self._marker(seq)
+            if marker.get("compacted"):
+                return [marker["folder"]], later[::-1]
+            later.append(marker["folder"])
+        return [], later[::-1]
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], LOG)
+        return self.spark.read.schema(LOG).parquet(*[f"{self.database.root}/{self.name}/log/{f}" for f in folders])
+
     def snapshot(self, at: int | None = None) -> DataFrame:
         """All log rows that a reader of commit ``at`` (the last) needs."""
-        seqs = [s for s in self.commits() if at is None or s <= at]
-        for s in reversed(seqs):
-            if self.files.read(f"{self.name}/commits/{s:012d}.json").get("compacted"):
-                seqs = [x for x in seqs if x >= s]
-                break
-        root = f"{self.database.root}/{self.name}/log"
-        if not seqs:
-            return self.spark.createDataFrame([], LOG)
-        return self.spark.read.schema(LOG).parquet(*[f"{root}/seq={s:012d}" for s in seqs])
+        base, later = self._parts(at)
+        return self._read(base + later)
+
+    @staticmethod
+    def _last(rows: DataFrame) -> DataFrame:
+        rest = [c for c in LOG.names if c != "id"]
+        return rows.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("seq", "ord")).alias("r")).select("id", "r.*")
 
     def latest(self, at: int | None = None) -> DataFrame:
         """Each id's last row, deletions included, without the pending ones."""
-        rest = [c for c in LOG.names if c != "id"]
-        return self.snapshot(at).groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("seq", "ord")).alias("r")).select("id", "r.*")
+        base, later = self._parts(at)
+        if not later:
+            return self._read(base)
+        new = self._last(self._read(later))
+        if not base:
+            return new
+        return self._read(base).join(self._read(later).select("id").distinct(), "id", "left_anti").unionByName(new)
 
     def _staged(self) -> DataFrame:
         return self.spark.createDataFrame(list(self._pending.values()), LOG)
@@ -209,8 +249,66 @@ class Collection:
         return self.live().where((F.col("id") == i) & V.searchable(F.col("vector"))).select("id", "vector", "metadata").limit(1)
 
     def search(self, query: Sequence[float], k: int = 10, where: Any = None, dialect: str = "core") -> DataFrame:
+        """``id, score, metadata`` of the k best live rows, pending ones too; through the index if there is one."""
         self._check([query])
-        return knn.search(self.rows(), [float(x) for x in query], k, self.metric, where, dialect) if k else self.spark.createDataFrame([], RESULT)
+        if not k:
+            return self.spark.createDataFrame([], RESULT)
+        q = [float(x) for x in query]
+        if self.index is None or dialect == "wasm":
+            return knn.search(self.rows(), q, k, self.metric, where, dialect)
+        # candidates are looked up among the live rows, as they may have expired since
+        found = self.ensure_index().search(q, OVER_FETCH * k, where).select("id", "score")
+        live = self.live().select("id", "metadata")
+        if self._pending:
+            live = live.where(~F.col("id").isin(*self._pending))
+        old = live.join(F.broadcast(found), "id").select("id", "score", "metadata")  # some times k rows
+        parts = [old.orderBy(V.order(self.metric), "id").limit(k)]
+        if self._pending:
+            parts.append(knn.search(self.live().where(F.col("id").isin(*self._pending)).select("id", "vector", "metadata"), q, k, self.metric, where, dialect))
+        return knn.merge_top(parts, k, self.metric)
+
+    def ensure_index(self, config: AnnConfig | str | None = None) -> IvfIndex:
+        """The index of all committed rows: built if there is none or it can't be read, else brought up
+        to date with the commits since, and built anew where these hold more rows than it does."""
+        config = PRESETS[config] if isinstance(config, str) else config or self.index or PRESETS["default"]
+        seqs = self.commits()
+        last, entry = seqs[-1] if seqs else 0, f"{self.name}/index/current.json"
+        if self.files.exists(entry):
+            info = self.files.read(entry)
+            try:
+                index = IvfIndex.load(self.spark, f"{self.database.root}/{self.name}/index/{info['folder']}")
+            except Corruption:
+                index = None
+            if index is not None and info["seq"] == last:
+                return index
+            since = [s for s in seqs if s > info["seq"]]
+            # a compacted commit tells nothing of what went before it
+            if index is not None and not any(self._marker(s).get("compacted") for s in since):
+                new = self._last(self._read([self._marker(s)["folder"] for s in since])).persist()
+                if new.count() <= len(index):
+                    index.delete(new.select("id"))
+                    index.insert(new.where("op = 'put'"))
+                    new.unpersist()
+                    self.files.replace(entry, {"folder": info["folder"], "seq": last})
+                    return index
+                new.unpersist()
+        folder = uuid.uuid4().hex
+        rows = self.latest(last).where("op = 'put'") if seqs else self._read([])
+        index = IvfIndex.build(rows.select("id", "vector", "metadata"), f"{self.database.root}/{self.name}/index/{folder}", self.metric, config)
+        old = self.files.read(entry)["folder"] if self.files.exists(entry) else None
+        self.files.replace(entry, {"folder": folder, "seq": last})
+        if old:
+            self.files.delete(f"{self.name}/index/{old}")
+        return index
+
+    def index_node_count(self) -> int:
+        """Rows in the index, 0 without one."""
+        entry = f"{self.name}/index/current.json"
+        return len(IvfIndex.load(self.spark, f"{self.database.root}/{self.name}/index/{self.files.read(entry)['folder']}")) if self.files.exists(entry) else 0
+
+    def visit(self, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+        """What a function makes of the live records, in batches where they are."""
+        return self.live().mapInPandas(f, schema)
 
     def batch_search(self, queries: DataFrame, k: int = 10, where: Any = None) -> DataFrame:
         return knn.batch_search(queries, self.rows(), k, self.metric, where)
@@ -223,7 +321,7 @@ class Collection:
 
     def stats(self) -> DataFrame:
         one = self.live().agg(F.count("*").alias("count"), F.coalesce(F.sum(F.size("vector") * 4), F.lit(0)).cast("long").alias("vector_storage_bytes"))
-        extra = {"name": self.name, "dimensions": self.dimensions, "metric": self.metric.value, "pending_writes": self.pending_count(), "file_size": self.files.size(self.name)}
+        extra = {"name": self.name, "dimensions": self.dimensions, "metric": self.metric.value, "pending_writes": self.pending_count(), "file_size": self.files.size(self.name), "has_index": self.files.exists(f"{self.name}/index/current.json"), "index_node_count": self.index_node_count()}
         return one.select(*[F.lit(v).alias(k) for k, v in extra.items()], "count", "vector_storage_bytes")
 
     def preload(self) -> DataFrame:
@@ -308,15 +406,17 @@ class Collection:
 
     def _commit(self, rows: DataFrame, compacted: bool = False) -> int:
         seq = max(self.commits(), default=0) + 1
-        folder = f"{self.name}/log/seq={seq:012d}"
-        if self.files.exists(folder):
-            raise TransactionConflict(f"commit {seq} of {self.name} is being written")
-        rows.withColumn("seq", F.lit(seq).cast("long")).select(*LOG.names).write.parquet(f"{self.database.root}/{folder}")
-        self.files.create(f"{self.name}/commits/{seq:012d}.json", {"seq": seq, "compacted": compacted})
+        folder = f"seq={seq:012d}-{uuid.uuid4().hex}"
+        rows.withColumn("seq", F.lit(seq).cast("long")).select(*LOG.names).write.parquet(f"{self.database.root}/{self.name}/log/{folder}")
+        try:
+            self.files.create(f"{self.name}/commits/{seq:012d}.json", {"seq": seq, "folder": folder, "compacted": compacted})
+        except TransactionConflict:
+            self.files.delete(f"{self.name}/log/{folder}")  # another writer was first; nothing of this one is visible
+            raise
         return seq
 
     def _roll_back(self) -> int:
-        done = {f"seq={s:012d}" for s in self.commits()}
+        done = {self._marker(s)["folder"] for s in self.commits()}
         lost = [x for x in self.files.names(f"{self.name}/log") if x.startswith("seq=") and x not in done]
         for x in lost:
             self.files.delete(f"{self.name}/log/{x}")
@@ -345,9 +445,15 @@ class Collection:
     def vacuum(self) -> int:
         """Delete commits before the last compacted one; their number."""
         seqs = self.commits()
-        base = next((s for s in reversed(seqs) if self.files.read(f"{self.name}/commits/{s:012d}.json").get("compacted")), 0)
+        base = next((s for s in reversed(seqs) if self._marker(s).get("compacted")), 0)
         old = [s for s in seqs if s < base]
         for s in old:
+            folder = self._marker(s)["folder"]
             self.files.delete(f"{self.name}/commits/{s:012d}.json")
-            self.files.delete(f"{self.name}/log/seq={s:012d}")
+            self.files.delete(f"{self.name}/log/{folder}")
         return len(old)
+
+    def delete_active(self, id: str) -> bool:
+        """As :meth:`delete`, but an expired row doesn't count: the browser's rule."""
+        there = bool(self.live().where(F.col("id") == id).limit(1).count())
+        return self.delete(id) and there
