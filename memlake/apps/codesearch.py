@@ -101,7 +101,7 @@ class CodeIndex:
     def index(self, root: str, languages: Sequence[str] | None = None, progress=None) -> dict[str, int]:
         """Add the chunks of a folder; ``files, chunks, skipped, errors``. ``progress(path, number, of)`` is
         called for each file in order once its chunks are in; files that aren't UTF-8 count as errors."""
-        source = files(self.database.spark, root, languages).withColumn("_bad", F.col("text").contains("\ufffd")).persist()
+        source = files(self.database.spark, root, languages).withColumn("_bad", ~F.is_valid_utf8("text")).persist()
         broken = source.where("_bad").count()
         every, source = source, source.where("not _bad").drop("_bad")
         got = chunks(source).persist()

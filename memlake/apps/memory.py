@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
+from typing import TextIO
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -61,16 +62,20 @@ class Memory:
         order = self._named(tiers)
         now = None if include_expired else float(self.database.clock())
         found = knn.tiered_search(self.rows(order), self.embedder.embed_single(text), k, threshold, order, now)
-        rest = F.map_filter(F.from_json("metadata", "map<string,string>"), lambda key, _: ~key.isin(*RESERVED))
+        rest = F.map_filter(F.from_json("metadata", "map<string,variant>"), lambda key, _: ~key.isin(*RESERVED))  # values keep their kinds
         return found.select("id", "content", "tier", "score", "created_at", "expires_at", F.to_json(rest).alias("metadata"))
 
-    def forget(self, text: str, threshold: float = 0.8, tiers: Sequence[str] | None = None, dry_run: bool = False) -> int:
-        """Delete the up to 100 nearest memories over the threshold, expired ones too."""
-        hits = self.recall(text, 100, threshold, tiers, include_expired=True).select("tier", "id").collect()
+    def forget(self, text: str, threshold: float = 0.8, tiers: Sequence[str] | None = None, dry_run: bool = False, most: int | None = 100) -> int:
+        """Delete the ``most`` nearest memories over the threshold, expired ones too; None: all of them."""
+        order = self._named(tiers)
+        k = most if most is not None else max(1, self.rows(order).count())
+        hits = self.recall(text, k, threshold, order, include_expired=True).select("tier", "id").persist()
+        n = {r["tier"]: r["count"] for r in hits.groupBy("tier").count().collect()}
         if not dry_run:
-            for t in {h["tier"] for h in hits}:
-                self.tiers[t].delete_frame(self.database.spark.createDataFrame([(h["id"],) for h in hits if h["tier"] == t], "id string"))
-        return len(hits)
+            for t in n:
+                self.tiers[t].delete_frame(hits.where(F.col("tier") == t).select("id"))
+        hits.unpersist()
+        return sum(n.values())
 
     def forget_by_id(self, i: str) -> bool:
         return any(self.tiers[t].delete(i) for t in TIERS)
@@ -104,6 +109,23 @@ class Memory:
         return "\n".join(f"[{r['tier']}] {r['content']}" for r in knn.budget(found, budget, ["_w", "id"], "cost").collect())
 
 
+_TIER = {"type": "string", "enum": list(TIERS)}
+_TIER_LIST = {"type": "array", "items": _TIER}
+
+
+def _schema(name: str, description: str, required: list[str], **properties: dict) -> dict:
+    return {"name": name, "description": description, "inputSchema": {"type": "object", "properties": properties, "required": required}}
+
+
+#: The tools as clients list them; names, arguments and defaults are fixed values.
+SCHEMAS = [
+    _schema("memory_remember", "Store a text under a tier, for the tier's lifetime or a given one.", ["content"], content={"type": "string"}, tier=_TIER | {"default": "project"}, ttl={"type": "integer"}),
+    _schema("memory_recall", "Find stored texts that are near a query.", ["query"], query={"type": "string"}, k={"type": "integer", "default": 5}, threshold={"type": "number", "default": 0.3}, tiers=_TIER_LIST),
+    _schema("memory_forget", "Remove stored texts that are near a query.", ["query"], query={"type": "string"}, threshold={"type": "number", "default": 0.8}, tiers=_TIER_LIST),
+    _schema("memory_stats", "Count the stored texts of each tier.", []),
+]
+
+
 class Tools:
     """The tool calls of an agent: checked arguments, answers as text."""
 
@@ -134,7 +156,7 @@ class Tools:
         return float(x)
 
     def _remember(self, a: dict) -> str:
-        return f"Remembered {self.memory.remember(self._text(a, 'content'), a.get('tier', 'session'), a.get('ttl'), a.get('metadata'))}"
+        return f"Remembered {self.memory.remember(self._text(a, 'content'), a.get('tier', 'project'), a.get('ttl'), a.get('metadata'))}"
 
     def _recall(self, a: dict) -> str:
         k = a.get("k", 5)
@@ -148,3 +170,36 @@ class Tools:
 
     def _stats(self, a: dict) -> str:
         return json.dumps({r["tier"]: r["count"] for r in self.memory.stats().collect()}, sort_keys=True)
+
+    def answer(self, message: dict) -> dict | None:
+        """The answer to one JSON-RPC message of a tool client; None to a notification."""
+        if "id" not in message:
+            return None
+        out: dict = {"jsonrpc": "2.0", "id": message["id"]}
+        params = message.get("params") or {}
+        match message.get("method"):
+            case "initialize":
+                out["result"] = {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "memlake", "version": "1"}}
+            case "ping":
+                out["result"] = {}
+            case "tools/list":
+                out["result"] = {"tools": SCHEMAS}
+            case "tools/call":
+                text = self.call(params.get("name", ""), params.get("arguments"))
+                out["result"] = {"content": [{"type": "text", "text": text}], "isError": text.startswith("Error:")}
+            case method:
+                out["error"] = {"code": -32601, "message": f"unknown method: {method}"}
+        return out
+
+    def serve(self, source: Iterable[str], target: TextIO) -> None:
+        """Answer messages, one to a line, until there are no more."""
+        for line in source:
+            if not line.strip():
+                continue
+            try:
+                got = self.answer(json.loads(line))
+            except (json.JSONDecodeError, TypeError) as e:
+                got = {"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": str(e)}}
+            if got is not None:
+                target.write(json.dumps(got) + "\n")
+                target.flush()

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import argparse
 import json
+import shlex
 import sys
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .apps.codesearch import LANGUAGES, CodeIndex
-from .apps.memory import TIERS, Memory
+from .apps.memory import TIERS, Memory, Tools
+from .apps.service import server
 from .functions.jsonfilter import compile_filter
 from .sources import ndjson
 from .sources.store import Database
@@ -48,12 +51,29 @@ def parser() -> argparse.ArgumentParser:
     add("memory-stats")
     add("cleanup")
     add("clear", tier=(str, None))
-    add("index", "folder")
+    add("index", "folder", languages=(str, None))
+    add("code-stats")
+    add("serve", host=(str, "127.0.0.1"), port=(int, 8080))
+    add("tools")
+    add("shell")
     add("code-search", "query", k=(int, 10), threshold=(float, 0.0))
     add("languages")
     return p
 
 
+def shell(spark: SparkSession, root: str, lines: Iterable[str]) -> None:
+    """Commands, one to a line, until ``quit`` or the end; errors are shown and the rest goes on."""
+    for line in lines:
+        words = shlex.split(line)
+        if words[:1] in (["quit"], ["exit"]):
+            return
+        if words and words[0] != "shell":
+            try:
+                run(spark, [root, *words])
+            except SystemExit:  # a line that can't be parsed
+                pass
+
+
 def run(spark: SparkSession, argv: list[str]) -> int:
     a = parser().parse_args(argv)
     db = Database(spark, a.root)
@@ -96,7 +116,15 @@ def run(spark: SparkSession, argv: list[str]) -> int:
             case "clear":
                 memory().clear(tiers)
             case "index":
-                _show(CodeIndex(db).index(a.folder))
+                _show(CodeIndex(db).index(a.folder, a.languages.split(",") if a.languages else None))
+            case "code-stats":
+                _show(CodeIndex(db).stats())
+            case "serve":
+                server(db, a.host, a.port).serve_forever()
+            case "tools":
+                Tools(memory()).serve(sys.stdin, sys.stdout)
+            case "shell":
+                shell(spark, a.root, sys.stdin)
             case "code-search":
                 _show(CodeIndex(db).search(a.query, a.k, a.threshold))
             case "languages":

@@ -51,6 +51,9 @@ class AnnConfig:
 #: Sampled rows whose neighbours are sought to find out how many cells to probe.
 SAMPLED_QUERIES = 1000
 
+#: The tables of an index; files may be none yet.
+TABLES = {"cells": "id string, vector array<float>, metadata string, at long, cell int", "deleted": "id string, at long"}
+
 #: Presets by name, from quick to thorough.
 PRESETS = {
     "fast": AnnConfig(probes=4, rounds=4),
@@ -93,8 +96,8 @@ class IvfIndex:
         self.spark, self.path, self.centroids, self.metric, self.config = spark, path, centroids, metric, config
 
     @classmethod
-    def build(cls, rows: DataFrame, path: str, metric: Metric | str = Metric.COSINE, config: AnnConfig | str = "default") -> IvfIndex:
-        """``rows``: id, vector, metadata. Rows whose vectors can't be searched are left out."""
+    def build(cls, rows: DataFrame, path: str, metric: Metric | str = Metric.COSINE, config: AnnConfig | str = "default", dimensions: int = 1) -> IvfIndex:
+        """``rows``: id, vector, metadata. Rows whose vectors can't be searched are left out. ``dimensions`` is for no rows at all."""
         config = PRESETS[config] if isinstance(config, str) else config
         spark, metric = rows.sparkSession, Metric.parse(metric)
         rows = rows.where(V.searchable(F.col("vector")))
@@ -110,7 +113,7 @@ class IvfIndex:
             return np.array([r["v"] for r in held.select(V.doubles("vector").alias("v")).limit(2 * config.sample).collect()])
 
         data = sample(0)
-        centroids = kmeans(data, cells, config.rounds) if len(data) else np.zeros((1, 1))
+        centroids = kmeans(data, cells, config.rounds) if len(data) else np.zeros((1, dimensions))
         if config.recall is not None and len(data) > 1:
             # centroids are closer to the rows that they were fitted on than to others, so others are asked where there are any
             other = sample(1) if share < 1 else data
@@ -119,7 +122,7 @@ class IvfIndex:
             config = config.with_probes(max(config.probes, probes_needed(data[:SAMPLED_QUERIES], data, centroids, metric, config.recall)))
         index = cls(spark, path, centroids, metric, config)
         index._write(index._assign(rows, 0), "overwrite")
-        spark.createDataFrame([], "id string, at long").write.mode("overwrite").parquet(f"{path}/deleted")
+        spark.createDataFrame([], TABLES["deleted"]).write.mode("overwrite").parquet(f"{path}/deleted")
         info = json.dumps({"metric": metric.value, "probes": config.probes, "rounds": config.rounds, "centroids": centroids.tolist()})
         spark.createDataFrame([(info, zlib.crc32(info.encode()))], "manifest string, crc32 long").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
         return index
@@ -149,14 +152,17 @@ class IvfIndex:
         salt = F.pmod(F.xxhash64("id"), F.lit(max(1, parts // len(self.centroids))))
         filed.repartition(parts, "cell", salt).write.mode(mode).partitionBy("cell").parquet(f"{self.path}/cells")
 
+    def _table(self, name: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}")
+
     def _next(self) -> int:
         """The number of the next change: beyond all that rows and deletions are stamped with."""
-        seen = [self.spark.read.parquet(f"{self.path}/{t}").agg(F.max("at")).first()[0] for t in ("cells", "deleted")]
+        seen = [self._table(t).agg(F.max("at")).first()[0] for t in ("cells", "deleted")]
         return 1 + max(x or 0 for x in seen)
 
     def _assign(self, rows: DataFrame, at: int) -> DataFrame:
         c = self.centroids
-        schema = "id string, vector array<float>, metadata string, at long, cell int"
+        schema = TABLES["cells"]
 
         def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for p in parts:
@@ -168,8 +174,8 @@ class IvfIndex:
 
     def rows(self) -> DataFrame:
         """What is indexed and wasn't deleted since."""
-        gone = self.spark.read.parquet(f"{self.path}/deleted").groupBy("id").agg(F.max("at").alias("gone"))
-        return self.spark.read.parquet(f"{self.path}/cells").join(gone, "id", "left").where(F.col("gone").isNull() | (F.col("at") > F.col("gone"))).drop("gone", "at")
+        gone = self._table("deleted").groupBy("id").agg(F.max("at").alias("gone"))
+        return self._table("cells").join(gone, "id", "left").where(F.col("gone").isNull() | (F.col("at") > F.col("gone"))).drop("gone", "at")
 
     def insert(self, rows: DataFrame) -> int:
         """File rows whose ids aren't indexed and whose vectors can be searched; their number. A deleted id may come back."""
@@ -185,7 +191,7 @@ class IvfIndex:
         ids.select(F.col("id").cast("string").alias("id"), F.lit(self._next()).cast("long").alias("at")).distinct().write.mode("append").parquet(f"{self.path}/deleted")
 
     def deleted_count(self) -> int:
-        return self.spark.read.parquet(f"{self.path}/deleted").select("id").distinct().count()
+        return self._table("deleted").select("id").distinct().count()
 
     def contains(self, i: str) -> bool:
         return bool(self.rows().where(F.col("id") == i).limit(1).count())

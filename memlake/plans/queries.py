@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -154,9 +154,13 @@ def knn_more_than_rows(spark, sf):
 
 @query("pending_merge_topk", _knn_sql(sql_dot("e.v", "q.v"), "DESC", q=UNIT_Q0))
 def pending_merge_topk(spark, sf):
-    rows, q = vectors(spark, sf), first_vector(spark, sf)
-    parts = [knn.search(rows.where(c), q, 10).select("id", "score") for c in ("vec_id % 10 <> 0", "vec_id % 10 = 0")]
-    return rounded(knn.merge_top(parts, 10))
+    """A tenth of the rows is staged, the others are committed; a search sees both."""
+    c = database(spark).collection("c", 64, "cosine", (1 << 30, 0.0))
+    rows = vectors(spark, sf)
+    c.upsert_frame(rows.where("vec_id % 10 <> 0"))
+    for r in rows.where("vec_id % 10 = 0").select("id", "vector", "metadata").toLocalIterator():
+        c.add(r["vector"], r["metadata"], r["id"])
+    return rounded(c.search(first_vector(spark, sf), 10).select("id", "score"))
 
 
 # --- vector arithmetic ------------------------------------------------------------------------
@@ -227,14 +231,24 @@ def filter_truth_table(spark, sf):
 
 @query("upsert_lww", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def upsert_lww(spark, sf):
-    last = F.max_by(F.struct("event_id", "event_type"), F.struct("ts", "event_id"))
-    return t(spark, sf, "events").groupBy("user_id").agg(last.alias("x")).select("user_id", "x.*")
+    from ..streaming import live
+
+    return live.latest(t(spark, sf, "events"), "user_id", "ts", ["event_id", "event_type"])
+
+
+def event_log(spark, sf):
+    """A collection of all events with their lifetimes, as of NOW."""
+    c = database(spark).collection("events", 2, "dot")
+    left = F.col("created_at") + event_ttl() - F.lit(NOW)
+    c.upsert_frame(events(spark, sf).select(F.col("event_id").cast("string").alias("id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"), left.alias("ttl")))
+    return c
 
 
-@query("delete_antijoin", "SELECT e.event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'error' AND d.event_id % 40 = 0 AND d.user_id = e.user_id)")
+@query("delete_antijoin", f"SELECT CAST(event_id AS VARCHAR) AS id FROM {EV} WHERE NOT (event_type = 'error' AND event_id % 40 = 0) AND {NOW} < created_at + {SQL_TTL}")
 def delete_antijoin(spark, sf):
-    e = t(spark, sf, "events")
-    return e.join(e.where("event_type = 'error' AND event_id % 40 = 0").select("user_id").distinct(), "user_id", "left_anti").select("event_id")
+    c = event_log(spark, sf)
+    c.delete_frame(t(spark, sf, "events").where("event_type = 'error' AND event_id % 40 = 0").select(F.col("event_id").alias("id")))
+    return c.rows().select("id")
 
 
 @query("ttl_active", f"SELECT event_id FROM {EV} WHERE {NOW} < created_at + {SQL_TTL}")
@@ -247,43 +261,69 @@ def ttl_remaining(spark, sf):
     return events(spark, sf).select("event_id", S.ttl_remaining(S.expires_at(F.col("created_at"), event_ttl()), F.lit(NOW).cast("long")).alias("remaining"))
 
 
-@query("cleanup_expired", f"SELECT event_type, count(*) AS removed FROM {EV} WHERE {NOW} > created_at + {SQL_TTL} GROUP BY 1")
+def tiers_of(spark, sf, expires_at: Column):
+    """A memory with a tier for each remainder of the events' ids."""
+    from ..apps.embed import CallableEmbedder
+    from ..apps.memory import Memory
+
+    m = Memory(database(spark), CallableEmbedder(lambda x: [[1.0, 0.0]] * len(x), 2))
+    e = events(spark, sf)
+    for k, tier in enumerate(S.TIER_TTL):
+        meta = F.to_json(F.struct(F.col("event_type").alias("content"), F.lit(tier).alias("tier"), F.col("created_at"), expires_at.alias("expires_at")))
+        m.tiers[tier].upsert_frame(e.where(F.col("event_id") % 4 == k).select(F.col("event_id").cast("string").alias("id"), F.array(F.lit(1.0), F.lit(0.0)).alias("vector"), meta.alias("metadata")))
+    return m
+
+
+SQL_TIER = "['working','session','project','user'][event_id % 4 + 1]"
+
+
+@query("cleanup_expired", f"SELECT tier, count(*) FILTER (WHERE {NOW} > created_at + {SQL_TTL}) AS removed, count(*) FILTER (WHERE NOT {NOW} > created_at + {SQL_TTL}) AS n FROM (SELECT *, {SQL_TIER} AS tier FROM {EV}) GROUP BY 1")
 def cleanup_expired(spark, sf):
-    gone = events(spark, sf).where(~S.unexpired(S.expires_at(F.col("created_at"), event_ttl()), F.lit(NOW)))
-    return gone.groupBy("event_type").agg(F.count("*").alias("removed"))
+    m = tiers_of(spark, sf, F.col("created_at") + event_ttl())
+    removed = spark.createDataFrame([(x, m.cleanup_expired([x])) for x in S.TIER_TTL], "tier string, removed long")
+    return removed.join(m.stats(), "tier").select("tier", "removed", F.col("count").alias("n"))
 
 
-@query("compact_stats", f"SELECT count(*) AS total, sum(CASE WHEN {NOW} >= created_at + {SQL_TTL} THEN 1 ELSE 0 END)::BIGINT AS expired_removed, sum(CASE WHEN {NOW} >= created_at + {SQL_TTL} THEN 256 ELSE 0 END)::BIGINT AS bytes_freed FROM {EV}")
+@query("compact_stats", f"SELECT count(*) FILTER (WHERE NOT d AND {NOW} >= created_at + {SQL_TTL}) AS expired_removed, count(*) FILTER (WHERE d) AS tombstones_removed, 8 * count(*) FILTER (WHERE NOT d AND {NOW} >= created_at + {SQL_TTL}) AS bytes_freed, count(*) FILTER (WHERE NOT d AND {NOW} < created_at + {SQL_TTL}) AS n FROM (SELECT *, event_id % 9 = 0 AS d FROM {EV})")
 def compact_stats(spark, sf):
-    gone = ~S.active(S.expires_at(F.col("created_at"), event_ttl()), F.lit(NOW))
-    return events(spark, sf).agg(F.count("*").alias("total"), F.sum(gone.cast("long")).alias("expired_removed"), F.sum(gone.cast("long") * 64 * 4).alias("bytes_freed"))
+    c = event_log(spark, sf)
+    c.delete_frame(t(spark, sf, "events").where("event_id % 9 = 0").select(F.col("event_id").alias("id")))
+    done = c.compact()
+    return spark.createDataFrame([(done["expired_removed"], done["tombstones_removed"], done["bytes_freed"], len(c))], "expired_removed long, tombstones_removed long, bytes_freed long, n long")
 
 
-@query("collection_stats", "SELECT count(*) AS n, min(len(embedding))::BIGINT AS dimensions, sum(len(embedding) * 4)::BIGINT AS vector_bytes FROM embeddings")
+@query("collection_stats", "SELECT 'c' AS name, count(*) AS count, CAST(64 AS INTEGER) AS dimensions, 'dot' AS metric, CAST(sum(len(embedding) * 4) AS BIGINT) AS vector_storage_bytes, CAST(0 AS INTEGER) AS pending_writes FROM embeddings")
 def collection_stats(spark, sf):
-    return t(spark, sf, "embeddings").agg(F.count("*").alias("n"), F.min(F.size("embedding")).cast("long").alias("dimensions"), F.sum(F.size("embedding") * 4).cast("long").alias("vector_bytes"))
+    c = database(spark).collection("c", 64, "dot")
+    c.upsert_frame(vectors(spark, sf))
+    return c.stats().select("name", "count", "dimensions", "metric", "vector_storage_bytes", "pending_writes")
 
 
-@query("list_collections", "SELECT 'label_' || label AS name, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY 1")
+@query("list_collections", "SELECT 'label_' || label AS name, count(*) AS count, CAST(64 AS INTEGER) AS dimensions, 'l2' AS metric FROM embeddings GROUP BY label")
 def list_collections(spark, sf):
-    return t(spark, sf, "embeddings").groupBy(F.concat(F.lit("label_"), F.col("label").cast("string")).alias("name")).agg(F.count("*").alias("n")).orderBy("name")
+    db, rows = database(spark), vectors(spark, sf)
+    for r in rows.select("label").distinct().collect():  # a row for each collection
+        db.collection(f"label_{r['label']}", 64, "l2").upsert_frame(rows.where(F.col("label") == r["label"]))
+    return db.listing()
 
 
-@query("tier_stats", "SELECT coalesce(tier, 'total') AS tier, count(*) AS n FROM (SELECT ['working','session','project','user'][label % 4 + 1] AS tier FROM embeddings) GROUP BY ROLLUP (tier)")
+@query("tier_stats", f"SELECT coalesce(tier, 'total') AS tier, count(*) AS count FROM (SELECT {SQL_TIER} AS tier FROM events) GROUP BY ROLLUP (tier)")
 def tier_stats(spark, sf):
-    tiers = F.array(*[F.lit(x) for x in S.TIER_TTL])
-    df = t(spark, sf, "embeddings").select(F.get(tiers, F.col("label") % 4).alias("tier"))
-    return df.rollup("tier").agg(F.count("*").alias("n")).select(F.coalesce("tier", F.lit("total")).alias("tier"), "n")
+    return tiers_of(spark, sf, F.lit(NOW)).stats()
 
 
 @query("point_get", f"SELECT id, CAST(0 AS DOUBLE) AS score, label FROM {E} WHERE id = '42'")
 def point_get(spark, sf):
-    return vectors(spark, sf).where("id = '42'").limit(1).select("id", F.lit(0.0).alias("score"), "label")
+    c = database(spark).collection("c", 64, "dot")
+    c.upsert_frame(vectors(spark, sf))
+    return c.get("42").select("id", "score", F.get_json_object("metadata", "$.label").cast("int").alias("label"))
 
 
 @query("get_with_vector", f"SELECT id, i, round(x, 6) AS x FROM (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS i FROM {E} WHERE id = '42')")
 def get_with_vector(spark, sf):
-    return vectors(spark, sf).where("id = '42'").select("id", F.posexplode(V.doubles("vector")).alias("i", "x")).select("id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+    c = database(spark).collection("c", 64, "dot")
+    c.upsert_frame(vectors(spark, sf))
+    return c.get_with_vector("42").select("id", F.posexplode(V.doubles("vector")).alias("i", "x")).select("id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 # --- quantisation -----------------------------------------------------------------------------
@@ -393,16 +433,25 @@ def cache_key(spark, sf):
     return t(spark, sf, "documents").select("doc_id", S.cache_key(F.col("text")).alias("key"))
 
 
-@query("cache_lookup", f"SELECT * FROM ({_knn_sql(sql_dot('e.v', 'q.v'), 'DESC', where='e.vec_id <> 0', k=1, q=UNIT_Q0)}) WHERE score >= 0.3")
+@query("cache_lookup", f"SELECT id AS response FROM ({_knn_sql(sql_dot('e.v', 'q.v'), 'DESC', where='e.vec_id <> 0', k=1, q=UNIT_Q0)}) WHERE score >= 0.3")
 def cache_lookup(spark, sf):
-    best = knn.search(vectors(spark, sf).where("vec_id <> 0"), first_vector(spark, sf), 1).select("id", "score")
-    return rounded(best.where("score >= 0.3"))
+    from ..apps.cache import SemanticCache
+    from ..apps.embed import CallableEmbedder
+
+    asked = first_vector(spark, sf)
+    cache = SemanticCache(database(spark), CallableEmbedder(lambda x: [asked] * len(x), 64), threshold=0.3)
+    meta = F.to_json(F.struct(F.col("id").alias("query"), F.col("id").alias("response"), F.lit(1.0).alias("duration_ms")))
+    cache.collection.upsert_frame(vectors(spark, sf).where("vec_id <> 0").withColumn("metadata", meta))
+    got = cache.get("the first vector")
+    return spark.createDataFrame([(got,)] if got is not None else [], "response string")
 
 
 @query("cache_stats", "SELECT count(*) AS total_queries, round(avg(CASE WHEN event_type IN ('view', 'click') THEN 1.0 ELSE 0.0 END), 6) AS hit_rate, round(sum(CASE WHEN event_type IN ('view', 'click') THEN value ELSE 0 END), 2) AS saved_ms FROM events")
 def cache_stats(spark, sf):
-    hit = F.col("event_type").isin("view", "click")
-    return t(spark, sf, "events").agg(F.count("*").alias("total_queries"), F.round(F.avg(hit.cast("double")), 6).alias("hit_rate"), F.round(F.sum(F.when(hit, F.col("value")).otherwise(0.0)), 2).alias("saved_ms"))
+    from ..apps.cache import statistics
+
+    got = statistics(t(spark, sf, "events"), F.col("event_type").isin("view", "click"), "value")
+    return got.select("total_queries", F.round("hit_rate", 6).alias("hit_rate"), F.round("saved_ms", 2).alias("saved_ms"))
 
 
 _CHUNKS = """
@@ -433,7 +482,7 @@ def chunk_search_dedupe(spark, sf):
 
 
 _BUDGET = """
-WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS cost, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations WHERE conv_id < 30),
+WITH RECURSIVE o AS (SELECT conv_id, turn, length(text) AS cost, row_number() OVER (ORDER BY conv_id, turn) AS n FROM conversations),
 w AS (SELECT 0::BIGINT AS n, 5000::BIGINT AS rest, NULL::BIGINT AS conv_id, NULL::BIGINT AS turn, NULL::BIGINT AS cost, false AS taken
   UNION ALL SELECT o.n, CASE WHEN o.cost <= w.rest THEN w.rest - o.cost ELSE w.rest END, o.conv_id, o.turn, o.cost, o.cost <= w.rest FROM w JOIN o ON o.n = w.n + 1)
 SELECT conv_id, turn, cost FROM w WHERE taken
@@ -471,7 +520,18 @@ def tier_default_ttl(spark, sf):
 
 @query("latency_stats", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high FROM events GROUP BY 1")
 def latency_stats(spark, sf):
-    return t(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"))
+    from ..apps.cache import latencies
+
+    return rounded(latencies(t(spark, sf, "events"), "event_type", "value"), "mean")
+
+
+@query("code_language", "SELECT doc_id, ['python', 'javascript', 'shell', 'cpp', 'kotlin', 'html', 'css', 'yaml', NULL, NULL][doc_id % 10 + 1] AS language FROM documents")
+def code_language(spark, sf):
+    from ..apps.codesearch import language
+
+    ends = F.array(*[F.lit(x) for x in (".py", ".MJS", ".zsh", ".cxx", ".kts", ".htm", ".sass", ".yml", ".none", "")])
+    path = F.concat(F.lit("/a.b/f"), F.col("doc_id").cast("string"), F.get(ends, (F.col("doc_id") % 10).cast("int")))
+    return t(spark, sf, "documents").select("doc_id", language(path).alias("language"))
 
 
 # --- stores and indexes -----------------------------------------------------------------------
@@ -482,7 +542,17 @@ def scratch(spark: SparkSession) -> str:
     import tempfile
     import uuid
 
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.gettempdir() + '/memlake'}/{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{root or tempfile.gettempdir() + '/memlake'}/{uuid.uuid4().hex}"
+
+
+def database(spark: SparkSession):
+    """A new database whose clock stands at NOW."""
+    from ..sources.store import Database
+
+    return Database(spark, scratch(spark), lambda: NOW)
 
 
 @query("ivf_batch_topk")
@@ -493,6 +563,46 @@ def ivf_batch_topk(spark, sf):
     return rounded(index.batch_search(_queries(spark, sf), 10))
 
 
+@query("ivf_all_cells", _BATCH.format(score=sql_dot("q.v", "e.v"), way="DESC", unit=SQL_UNIT))
+def ivf_all_cells(spark, sf):
+    """With all of its cells probed an index is exact."""
+    from ..operators.ivf import AnnConfig, IvfIndex
+
+    rows = vectors(spark, sf)
+    index = IvfIndex.build(rows.where("vec_id % 3 <> 0"), scratch(spark), "cosine", AnnConfig(cells=12, probes=12))
+    index.insert(rows)
+    return rounded(index.batch_search(_queries(spark, sf), 10))
+
+
+_CHANGED = f"(SELECT id, CASE WHEN vec_id % 5 = 0 THEN list_reverse(v) ELSE v END AS v FROM {E} WHERE vec_id % 7 <> 0)"
+
+
+@query("collection_search", f"SELECT e.id, round({sql_dot('e.v', 'q.v')}, 6) AS score FROM {_CHANGED} e, {UNIT_Q0} q ORDER BY {sql_dot('e.v', 'q.v')} DESC, e.id LIMIT 20")
+def collection_search(spark, sf):
+    """A collection that is compacted, then changed: its base is read as it is, without the changed ids."""
+    c = database(spark).collection("c", 64, "cosine")
+    _changed(c, vectors(spark, sf))
+    return rounded(c.search(first_vector(spark, sf), 20).select("id", "score"))
+
+
+@query("collection_search_indexed", f"SELECT e.id, round({sql_dot('e.v', 'q.v')}, 6) AS score FROM {_CHANGED} e, {UNIT_Q0} q ORDER BY {sql_dot('e.v', 'q.v')} DESC, e.id LIMIT 20")
+def collection_search_indexed(spark, sf):
+    """The same through an index that is built before the changes and brought up to date by the search."""
+    from ..operators.ivf import AnnConfig
+
+    c = database(spark).collection("c", 64, "cosine", index=AnnConfig(cells=8, probes=8))
+    _changed(c, vectors(spark, sf), lambda: c.search(first_vector(spark, sf), 1))
+    return rounded(c.search(first_vector(spark, sf), 20).select("id", "score"))
+
+
+def _changed(c, rows, between=lambda: None) -> None:
+    c.upsert_frame(rows)
+    c.compact()
+    between()
+    c.upsert_frame(rows.where("vec_id % 5 = 0").withColumn("vector", F.reverse("vector")))
+    c.delete_frame(rows.where("vec_id % 7 = 0"))
+
+
 _HALF = "round(list_sum(list_transform(v, lambda x: CAST(CAST(x AS FLOAT) AS DOUBLE))), 4)"
 
 

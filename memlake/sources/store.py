@@ -294,7 +294,7 @@ class Collection:
                 new.unpersist()
         folder = uuid.uuid4().hex
         rows = self.latest(last).where("op = 'put'") if seqs else self._read([])
-        index = IvfIndex.build(rows.select("id", "vector", "metadata"), f"{self.database.root}/{self.name}/index/{folder}", self.metric, config)
+        index = IvfIndex.build(rows.select("id", "vector", "metadata"), f"{self.database.root}/{self.name}/index/{folder}", self.metric, config, self.dimensions)
         old = self.files.read(entry)["folder"] if self.files.exists(entry) else None
         self.files.replace(entry, {"folder": folder, "seq": last})
         if old:

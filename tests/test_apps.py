@@ -133,3 +133,104 @@ def test_streams(spark, db, tmp_path):
     q = live.latest(stream(), "id", "t", ["vector"]).writeStream.format("memory").queryName("last").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("last").count() == 2
+
+
+def test_cache_keys():
+    key = SemanticCache.call_key
+    assert key("f", ("x", 1), {}) == "x"
+    assert key("f", (5, "x"), {}) != key("f", (6, "x"), {}) == "f:(6, 'x'):{}"
+    assert key("f", (), {"a": "x"}) == "f:():{'a': 'x'}" and key("f", (1, 2), {}, lambda a, b: f"{a + b}") == "3"
+
+
+def test_everything_can_be_forgotten(db):
+    m = Memory(db, HashingEmbedder(16))
+    m.remember_frame(db.spark.createDataFrame([("same words",)] * 130, "content string"), "user")
+    assert m.forget("same words", 0.9, dry_run=True) == 100 and m.forget("same words", 0.9, most=None) == 130
+    c = SemanticCache(db, HashingEmbedder(16))
+    v = HashingEmbedder(16).embed_single("same words")
+    c.collection.upsert_frame(db.spark.createDataFrame([(str(i), v) for i in range(130)], "id string, vector array<double>"))
+    assert c.invalidate_similar("same words", most=None) == 130
+
+
+def test_memory_metadata_keeps_its_kinds(db):
+    m = Memory(db, HashingEmbedder(16))
+    m.remember("a b c", metadata={"n": 5, "x": {"y": [1, "2"]}, "s": "5", "b": True})
+    import json
+
+    assert json.loads(m.recall("a b c").first()["metadata"]) == {"n": 5, "x": {"y": [1, "2"]}, "s": "5", "b": True}
+
+
+def test_tool_protocol(db):
+    import io
+    import json
+
+    tools = Tools(Memory(db, HashingEmbedder(16)))
+    asked = [
+        {"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {}},
+        {"jsonrpc": "2.0", "method": "notifications/initialized"},
+        {"jsonrpc": "2.0", "id": 2, "method": "tools/list"},
+        {"jsonrpc": "2.0", "id": 3, "method": "tools/call", "params": {"name": "memory_remember", "arguments": {"content": "tea"}}},
+        {"jsonrpc": "2.0", "id": 4, "method": "tools/call", "params": {"name": "memory_recall", "arguments": {"query": "tea"}}},
+        {"jsonrpc": "2.0", "id": 5, "method": "tools/call", "params": {"name": "memory_recall", "arguments": {}}},
+        {"jsonrpc": "2.0", "id": 6, "method": "nothing"},
+    ]
+    out = io.StringIO()
+    tools.serve([*map(json.dumps, asked), "", "{"], out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert [x["id"] for x in got] == [1, 2, 3, 4, 5, 6, None]
+    assert [t["name"] for t in got[1]["result"]["tools"]] == ["memory_remember", "memory_recall", "memory_forget", "memory_stats"]
+    assert "[project]" in got[3]["result"]["content"][0]["text"] and got[4]["result"]["isError"]
+    assert got[5]["error"]["code"] == -32601 and got[6]["error"]["code"] == -32700
+
+
+def test_http_server(db):
+    import json
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from memlake.apps.service import server
+
+    web = server(db)
+    threading.Thread(target=web.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{web.server_address[1]}"
+
+    def call(method, path, body=None):
+        try:
+            with urlopen(Request(at + path, json.dumps(body).encode() if body is not None else None, method=method)) as r:
+                return r.status, json.loads(r.read())
+        except HTTPError as e:
+            return e.code, json.loads(e.read())
+
+    try:
+        assert call("POST", "/collections", {"name": "a", "dimensions": 2})[0] == 201
+        assert call("POST", "/collections/a/upsert", {"id": "x y", "vector": [1, 0], "metadata": {"k": 1}})[0] == 200
+        assert call("POST", "/collections/a/add_batch", {"vectors": [[0, 1], [1, 1]], "ids": ["b", "c"]})[1]["data"]["ids"] == ["b", "c"]
+        assert call("GET", "/collections/a/records/x%20y")[1]["data"]["vector"] == [1.0, 0.0]
+        assert call("GET", "/collections/a/stats")[1]["data"]["count"] == 3
+        assert [r["id"] for r in call("POST", "/collections/a/search", {"vector": [1, 0], "k": 2})[1]["data"]] == ["x y", "c"]
+        assert call("GET", "/nothing")[0] == 404 and call("DELETE", "/collections/a")[0] == 200
+    finally:
+        web.shutdown()
+
+
+def test_languages_and_skipped_folders(spark, db, tmp_path):
+    from memlake.apps import codesearch
+
+    assert codesearch.endings(["Shell", ".xyz", "nothing"]) == [".bash", ".sh", ".xyz", ".zsh"]
+    assert ".md" not in codesearch.endings() and ".mjs" in codesearch.endings()
+    src = tmp_path / "code"
+    for name, text in {"a.mjs": "export const value = 'a long line';", "vendor/b.py": "hidden = 'in a skipped folder'", "x.egg-info/c.py": "hidden = 'in another one of them'", "d.css": "body { margin: 0; padding: 0 }", "e.zsh": "echo 'a line that is long enough'"}.items():
+        (src / name).parent.mkdir(parents=True, exist_ok=True)
+        (src / name).write_text(text)
+    (src / "bad.py").write_bytes(b"x = '\xff\xfe and a broken text'\n")
+    index, seen = CodeIndex(db, embedder=HashingEmbedder(16)), []
+    got = index.index(str(src), progress=lambda *a: seen.append(a))
+    assert (got["files"], got["errors"]) == (1, 1) and [x[1:] for x in seen] == [(1, 1)]
+    assert index.index(str(src), ["css", "shell"])["files"] == 2
+    assert {r["language"]: r["files"] for r in index.stats().collect()} == {"javascript": 1, "css": 1, "shell": 1}
+
+
+def test_shell(spark, tmp_path, capsys):
+    cli.shell(spark, str(tmp_path / "db"), ["collections", "get nope x", "no-such-command", "info", "quit", "info"])
+    assert capsys.readouterr().out.count('"root"') == 1

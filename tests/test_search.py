@@ -118,6 +118,40 @@ def test_vector_functions(spark):
         Metric.parse("manhattan")
 
 
+def test_hashes(spark):
+    import zlib
+
+    def fnv(b):
+        h = 0xCBF29CE484222325
+        for x in b:
+            h = (h ^ x) * 0x100000001B3 % (1 << 64)
+        return h - (1 << 64) if h >> 63 else h
+
+    for r in spark.createDataFrame([("a",), ("",), ("foobar" * 9,), ("日本é",)], "t string").select("t", scalars.fnv1a(F.col("t")).alias("h"), scalars.crc32(F.col("t")).alias("c")).collect():
+        assert (r["h"], r["c"]) == (fnv(r["t"].encode()), zlib.crc32(r["t"].encode()))
+
+
+def test_batch_keeps_its_best_over_many_batches(spark, monkeypatch):
+    monkeypatch.setattr(knn, "SCORE_BYTES", 4000)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        v = units(400, 8, 5)
+        v[300:320] = v[7]  # more ties than places
+        rows = [(f"{i:04d}", x.tolist()) for i, x in enumerate(v)] + [("nan", [float("nan")] * 8), ("none", None), ("part", [0.0, float("nan")] + [0.0] * 6), ("short", [1.0])]
+        df = spark.createDataFrame(rows, "id string, vector array<double>").repartition(2)
+        asked = spark.createDataFrame([(i, v[i].tolist()) for i in (7, 0, 300)], "qid long, vector array<double>")
+        for metric in ("dot", "l2"):
+            for block in (4096, 2):
+                monkeypatch.setattr(knn, "QUERY_BLOCK", block)
+                got = knn.batch_search(asked, df, 6, metric).toPandas()
+                for q in (7, 0, 300):
+                    s = ((v - v[q]) ** 2).sum(1) if metric == "l2" else -(v @ v[q])
+                    want = [f"{i:04d}" for i in sorted(range(400), key=lambda i: (round(s[i], 12), i))[:6]]
+                    assert got[got.qid == q].sort_values("rank")["id"].tolist() == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_scalars(spark):
     df = spark.createDataFrame([(59,), (60,), (3700,), (90000,)], "s long")
     assert [r[0] for r in df.select(scalars.format_ttl(F.col("s"))).collect()] == ["59s", "1m", "1h", "1d"]
@@ -145,6 +179,14 @@ def test_quantizers(spark):
     codes = np.array([r["codes"] for r in coded.orderBy("id").collect()])
     far = pq.table(v[0], False)[np.arange(8), codes].sum(1)
     assert np.allclose(far, np.square(pq.decode(codes) - v[0]).sum(1))
+    both = coded.select(pq.score(q, F.col("codes"), False).alias("a"), pq.asymmetric_distance(q, F.col("codes"), False).alias("b")).toPandas()
+    assert np.allclose(both.a, both.b)
+    books = {(r["part"], r["code"]): r["book"] for r in pq.books_frame(spark).collect()}
+    assert len(books) == 8 * 32
+    parts = v.reshape(len(v), 8, 2)
+    for j in range(8):
+        b = np.array([books[j, c] for c in range(32)])
+        assert (np.square(parts[:, j, None] - b[None]).sum(2).argmin(1) == codes[:, j]).all()
     assert [quant.subspaces(d) for d in (96, 64, 48, 24, 7)] == [48, 32, 48, 8, 7]
     with pytest.raises(InvalidInput):
         quant.ProductQuantizer.train(df.limit(0))

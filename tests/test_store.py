@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from memlake.operators.ivf import AnnConfig, IvfIndex
 from memlake.sources import ndjson
 from memlake.sources.store import WRITE_IMMEDIATE, Database
-from memlake.types import CollectionExists, CollectionNotFound, Deserialization, DimensionMismatch, DimensionsTooLarge, InvalidDimensions, InvalidFormat, InvalidInput
+from memlake.types import CollectionExists, CollectionNotFound, Corruption, Deserialization, DimensionMismatch, DimensionsTooLarge, InvalidDimensions, InvalidFormat, InvalidInput, TransactionConflict
 
 
 class Clock:
@@ -181,3 +182,64 @@ def test_export_import(db, spark, tmp_path):
     with pytest.raises(Deserialization):
         load("{not json")
     assert d.rows().where(F.col("id") == "k").count() == 1
+
+
+def test_compacted_base_is_read_without_a_shuffle(db, spark):
+    c = db.collection("k", 2, "dot")
+    c.upsert_frame(spark.createDataFrame([(str(i), [float(i), 1.0]) for i in range(20)], "id string, vector array<double>"))
+    c.compact()
+    plan = c.search([1, 0], 3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert ids(c.search([1, 0], 2)) == ["18", "19"]
+    c.upsert("19", [0, 0])
+    c.delete("18")
+    c.flush()
+    assert ids(c.search([1, 0], 2)) == ["16", "17"] and len(c) == 19
+
+
+def test_writers_of_one_commit_dont_mix(db, spark, monkeypatch):
+    one = db.collection("w", 2, "dot")
+    two = Database(spark, db.root, db.clock).get_collection("w")
+    create = one.files.create
+
+    def late(name, value):
+        two.add_sync([0, 1], None, "b")  # the other writer takes the number first
+        create(name, value)
+
+    monkeypatch.setattr(one.files, "create", late)
+    with pytest.raises(TransactionConflict):
+        one.upsert_frame(spark.createDataFrame([("a", [1.0, 0.0])], "id string, vector array<double>"))
+    monkeypatch.undo()
+    assert ids(one.rows()) == ["b"] and len(one.files.names("w/log")) == 1
+
+
+def test_index_follows_the_collection(db, spark):
+    c = db.collection("i", 2, "dot", index=AnnConfig(cells=3, probes=3))
+    put = lambda n, f: c.upsert_frame(spark.createDataFrame([(f"{i:02d}", [f(i), 1.0], '{"odd": %d}' % (i % 2)) for i in n], "id string, vector array<double>, metadata string"))
+    assert c.search([1, 0], 3).count() == 0
+    put(range(50), float)
+    assert ids(c.search([1, 0], 2)) == ["48", "49"] and c.stats().first()["index_node_count"] == 50
+    first = c.files.read("i/index/current.json")
+    put(range(50, 60), float)
+    put([49], lambda i: 0.0)
+    c.delete("59")
+    assert ids(c.search([1, 0], 2)) == ["57", "58"]
+    now = c.files.read("i/index/current.json")
+    assert now["folder"] == first["folder"] and now["seq"] > first["seq"] and len(c.ensure_index()) == 59
+    assert ids(c.search([1, 0], 2, {"odd": 1})) == ["55", "57"]
+    c.add_batch([[99, 1]], ids=["gone"], ttls=[5])
+    assert ids(c.search([1, 0], 1)) == ["gone"]
+    db.clock.t += 9
+    assert ids(c.search([1, 0], 1)) == ["58"]  # the index still has it, the collection hasn't
+    c.add([100, 1], {"odd": 1}, "staged")
+    assert ids(c.search([1, 0], 2)) == ["58", "staged"] and ids(c.search([1, 0], 1, {"odd": 0})) == ["58"]
+    c.flush()
+    c.compact()
+    assert ids(c.search([1, 0], 2)) == ["58", "staged"]
+    path = f"{db.root}/i/index/{c.files.read('i/index/current.json')['folder']}"
+    spark.createDataFrame([("{}", 0)], "manifest string, crc32 long").write.mode("overwrite").parquet(f"{path}/manifest")
+    with pytest.raises(Corruption):
+        IvfIndex.load(spark, path)
+    assert ids(c.search([1, 0], 2)) == ["58", "staged"]  # built anew
+    assert c.visit(lambda parts: (p[["id"]] for p in parts), "id string").count() == len(c)
+    assert c.delete_active("staged") and not c.delete_active("gone")
