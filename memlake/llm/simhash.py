@@ -183,17 +183,21 @@ def linked(fps: DataFrame) -> DataFrame:
     n = fps.count()
     level = masks(n)
     filed = fps.select("fp", F.explode(F.array(*[F.lit(_signed(m)) for m in level])).alias("mask"))
-    for _ in range(2):
+    while True:
+        # masks with 14 free bits or fewer hold no crowds any more, so this ends
         filed = filed.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         crowd, _ = materialise(filed.groupBy("mask", "key").count().where(F.col("count") > CROWDED).select("mask", "key"), "crowded")
-        if not crowd.count():
+        full = [r["mask"] & ((1 << 64) - 1) for r in crowd.select("mask").distinct().collect()]  # some of the masks
+        full = [m for m in full if m.bit_count() < 64 - 2 * (BITS + 1)]
+        if not full:
             break
+        crowd = crowd.where(F.col("mask").isin([_signed(m) for m in full]))
         # crowds are told apart by one of four blocks of their other bits: three bits can't differ in all
-        finer = {m: [m | p for p in _parts([b for b in range(64) if not m >> b & 1], BITS + 1)] for m in level}
-        level = sorted({x for v in finer.values() for x in v})
+        finer = {m: [m | p for p in _parts([b for b in range(64) if not m >> b & 1], BITS + 1)] for m in full}
+        level = sorted({*level, *(x for v in finer.values() for x in v)})
         by = F.create_map(*[y for m, v in finer.items() for y in (F.lit(_signed(m)), F.array(*[F.lit(_signed(x)) for x in v]))])
         crowded = filed.join(crowd, ["mask", "key"], "left_semi").select("fp", F.explode(by[F.col("mask")]).alias("mask"))
-        filed = filed.join(crowd, ["mask", "key"], "left_anti").select("fp", "mask").unionByName(crowded)
+        filed, _ = materialise(filed.join(crowd, ["mask", "key"], "left_anti").select("fp", "mask").unionByName(crowded), "filed")
     tasks = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * len(level) // TASK_ROWS))
     filed = filed.select("fp", "mask", F.pmod(F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))), F.lit(tasks)).alias("task"))
 
