@@ -40,8 +40,9 @@ def norm(a: Column) -> Column:
 
 def normalize(a: Column) -> Column:
     """Unit vector; a vector shorter than the machine epsilon becomes zero."""
-    n = norm(a)
-    return F.when(n < EPSILON, F.transform(a, lambda x: F.lit(0.0))).otherwise(F.transform(a, lambda x: x / n))
+    # the norm is bound to a variable: within the inner lambda it would be computed for each component
+    one = F.transform(F.array(norm(a)), lambda n: F.when(n < EPSILON, F.transform(a, lambda x: F.lit(0.0))).otherwise(F.transform(a, lambda x: x / n)))
+    return F.get(one, F.lit(0))
 
 
 def is_normalized(a: Column, tolerance: float = 1e-6) -> Column:

@@ -65,6 +65,9 @@ class _Tops:
     """The k best rows so far of each of some queries."""
 
     def __init__(self, q: np.ndarray, k: int, metric: Metric):
+        if metric is Metric.COSINE:
+            n = np.sqrt(np.square(q).sum(1, keepdims=True))
+            q = np.where(n < V.EPSILON, 0.0, q / np.where(n < V.EPSILON, 1.0, n))
         self.q, self.k, self.metric = q, k, metric
         self.found: tuple[np.ndarray, np.ndarray, np.ndarray] = (np.zeros(0, int), np.zeros(0, object), np.zeros(0))
         # a query's k-th best so far, larger is better: rows below it needn't be looked at
@@ -114,8 +117,7 @@ def batch_search(queries: DataFrame, rows: DataFrame, k: int = 10, metric: Metri
     if k < 1:
         raise InvalidInput("k must be positive")
     spark = rows.sparkSession
-    unit = V.normalize(V.doubles("vector")) if metric is Metric.COSINE else V.doubles("vector")
-    asked = queries.select("qid", unit.alias("vector")).where(F.col("vector").isNotNull())
+    asked = queries.select("qid", V.doubles("vector").alias("vector")).where(F.col("vector").isNotNull())
     size = asked.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     kinds = {"qid": queries.schema["qid"].dataType, "id": rows.schema["id"].dataType}
     schema = StructType([StructField("qid", kinds["qid"]), StructField("id", kinds["id"]), StructField("score", DoubleType())])
