@@ -18,8 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a cell's sides: bounds a task's memory.
+#: Rows of a cell's sides at least; more where there are enough for all cores, up to so many bytes of
+#: vectors: larger cells mean fewer copies of either side, their bytes bound a task's memory.
 QUERY_ROWS, ROWS = 2048, 8192
+QUERY_BYTES, CELL_BYTES = 16 << 20, 32 << 20
 TILE = (256, 4096)
 #: More than the rounding of double sums.
 SLACK = 1e-9
@@ -116,8 +118,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 5, id_col: str = "v
     """
     # whole copies of a row would share a cell
     q, c = usable(queries, id_col, vec_col).distinct(), usable(vectors, id_col, vec_col).distinct()
-    nq, nc = q.count(), c.count()
-    rows, cols = max(1, -(-nq // QUERY_ROWS)), max(1, -(-nc // ROWS))
+    nq = q.count()
+    nc, dim = c.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    spare = 4 * q.sparkSession.sparkContext.defaultParallelism
+    rows, cols = (max(1, -(-n // max(1, min(most // (8 * dim), max(least, n // spare))))) for n, least, most in ((nq, QUERY_ROWS, QUERY_BYTES), (nc, ROWS, CELL_BYTES)))
     # ids fall on rows and columns by hash, so one repeated vector doesn't fill a cell
     h = F.xxhash64("id")
     q = q.withColumn("r", F.pmod(h, F.lit(rows))).withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(cols - 1)).cast("array<bigint>")))

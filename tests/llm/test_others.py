@@ -308,6 +308,25 @@ def test_toxicity(spark, labelled):
     assert {x.score for x in toxicity.predictions(docs, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_of_repeated_rows_and_long_texts(spark, labelled, monkeypatch):
+    rows = [(i, t, "x") for i, t, _ in labelled[:400]]
+    long = " ".join(t for _, t, y in labelled if not y) * 3
+    more = [(1, rows[1][1], "x")] * 300 + [(7000, long, "x"), (7001, long + " villain knave scoundrel" * 9, "x"), (7000, long, "x"), (None, None, "x")]
+    docs = spark.createDataFrame(rows + more, "doc_id long, text string, predicted string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in labelled[:400]] + [(7, 0), (7, 0), (8, None), (7000, 0)], "doc_id long, toxic int")
+    monkeypatch.setattr(toxicity, "TRAIN_BYTES", 2000)
+    fit = toxicity.training_rows(docs, labels)
+    assert max(len(t) for t, _ in fit) <= 2000 and sum(t == rows[1][1] for t, _ in fit) <= 1
+    got = [tuple(x) for x in toxicity.predictions(docs, labels).collect()]
+    assert len(got) == len(rows) + len(more)
+    by = {}
+    for i, _, s, _ in got:
+        by.setdefault(i, set()).add(s)
+    assert all(len(x) == 1 for x in by.values()) and min(by[7001]) > max(by[7000])
+    scored = toxicity.score_documents(docs, toxicity.train(fit), "_s")
+    assert scored.columns == [*docs.columns, "_s"]
+
+
 def test_html_of_ordinary_class_names(spark):
     words = "Some words of the article itself. " * 6
     text = " ".join(words.split())
