@@ -401,7 +401,7 @@ def recall_metric(spark, sf):
     return rounded(knn.recall(knn.search_join(asked, whole, 10, "dot"), knn.search_join(asked, coded, 10, "dot")), "recall")
 
 
-@query("pq_topk")
+@query("pq_topk", _knn_sql(sql_dot("e.v", "q.v"), "DESC"))
 def pq_topk(spark, sf):
     rows, q = vectors(spark, sf), first_vector(spark, sf)
     pq = quant.ProductQuantizer.train(rows)
