@@ -29,7 +29,7 @@ from .common import rebatched, small_batches
 
 NONE = np.iinfo(np.int64).max
 #: Words in either of a Python worker's two caches, the current and the last; bounds memory, not results.
-CACHE = 500_000
+CACHE = 300_000
 #: Cells of the matrices that step together.
 CELLS = 1 << 21
 #: So few trees, and trees of so many leaves, step one by one: a step of a matrix costs as much as many of theirs.

@@ -29,7 +29,7 @@ WINDOW = 10
 #: Test text of one round at most: bounds what is broadcast. More text takes more rounds over the index.
 ROUND_BYTES = 8 << 20
 #: Words of a segment, about; a longer document is a segment of its own.
-SEGMENT_WORDS = 1 << 19
+SEGMENT_WORDS = 1 << 18
 #: Postings that are intersected at a time, about.
 CANDIDATES = 1 << 20
 

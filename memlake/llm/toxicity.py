@@ -58,15 +58,30 @@ def _clean(text: str) -> list[bytes]:
     return _EDGE.sub(" ", text.lower()).encode().split()
 
 
-def _prefixes(words: Counter) -> Counter:
-    """Counts of the beginnings of words, with the space before them, and of whole words."""
+def _prefixes(words: Counter, least: float) -> Counter:
+    """Counts, from ``least`` on, of the beginnings of words, with the space before them, and of whole
+    words. Longer ones are only sought where the shorter are frequent, so that few are held."""
+    alive = {" " + w: n for w, n in words.items()}
+    out = Counter({w + " ": n for w, n in alive.items() if len(w) <= 13 and n >= least})
+    for k in range(4, 15):
+        level: Counter = Counter()
+        for w, n in alive.items():
+            if len(w) >= k:
+                level[w[:k]] += n
+        level = Counter({p: n for p, n in level.items() if n >= least})
+        out.update(level)
+        alive = {w: n for w, n in alive.items() if w[:k] in level}
+    return out
+
+
+def _counts(words: Counter, keys: set[str]) -> Counter:
+    """Counts of these beginnings and whole words."""
     out: Counter = Counter()
     for w, n in words.items():
         w = " " + w
-        for k in range(4, min(len(w), 14) + 1):
-            out[w[:k]] += n
-        if len(w) <= 13:
-            out[w + " "] += n
+        for p in [*(w[:k] for k in range(4, min(len(w), 14) + 1)), w + " "]:
+            if p in keys:
+                out[p] += n
     return out
 
 
@@ -152,12 +167,14 @@ def _coder(content: bytes) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(dict_data=d, compression_params=params)
 
 
-def _contexts(docs: list[tuple[str, int]]) -> dict[int, set[tuple[str, str, str]]]:
-    """Each class's words with the words around them."""
-    out: dict[int, set] = {0: set(), 1: set()}
+def _contexts(docs: list[tuple[str, int]]) -> dict[int, dict[int, str]]:
+    """Each class's words by the hash of the word with the words around it; equal words are one object."""
+    out: dict[int, dict[int, str]] = {0: {}, 1: {}}
+    known: dict[str, str] = {}
     for text, y in docs:
-        words = [w.decode() for w in _clean(text)]
-        out[y].update(zip(["", *words], words, [*words[1:], ""], strict=False))
+        words = [known.setdefault(w, w) for w in map(bytes.decode, _clean(text))]
+        for x in zip(["", *words], words, [*words[1:], ""], strict=False):
+            out[y][hash(x)] = x[1]
     return out
 
 
@@ -174,15 +191,16 @@ def train(docs: list[tuple[str, int]]) -> Model:
     if len({y for _, y in fit}) < 2:
         return flat
     seen_in = _contexts(fit)
-    new = {y: c - seen_in[y] for y, c in _contexts(rest).items()}
-    single = {y: Counter(w for _, w, _ in seen_in[y]) for y in seen_in}
+    new = {y: {h: w for h, w in c.items() if h not in seen_in[y]} for y, c in _contexts(rest).items()}
+    single = {y: Counter(seen_in[y].values()) for y in seen_in}
     total = {y: max(1, len(seen_in.pop(y))) for y in (0, 1)}
-    count = {y: _prefixes(single[y]) for y in single}
-    again = {y: _prefixes(Counter(w for _, w, _ in new[y])) for y in new}
-    size = {y: max(1, len(new.pop(y))) for y in (0, 1)}
     least = {y: max(LEAST, LEAST_SHARE * sum(z == y for _, z in fit)) for y in single}
+    count = {y: _prefixes(single[y], least[y]) for y in single}
+    segments = {y: _segments(count[y], total[y], _counts(single[1 - y], set(count[y])), total[1 - y], least[y]) for y in count}
+    later = {y: Counter(new[y].values()) for y in new}
+    size = {y: max(1, len(new.pop(y))) for y in (0, 1)}
+    again = {y: _counts(later[y], {x for z in segments.values() for x in z}) for y in later}
     freq = single[0] + single[1]
-    segments = {y: _segments(count[y], total[y], count[1 - y], total[1 - y], least[y]) for y in count}
     held = {y: [x for x in segments[y] if again[y][x] >= max(2, count[y][x] * size[y] / total[y] / 4) and again[y][x] / size[y] >= CONTRAST / 2 * again[1 - y][x] / size[1 - y]] for y in segments}
     marked = re.compile("|".join(re.escape(x) for y in held for x in held[y]) or "$^")
     common = _content([" " + w for w, _ in sorted(freq.items(), key=lambda x: (x[1], x[0])) if not marked.search(f" {w} ")], COMMON_BYTES)
