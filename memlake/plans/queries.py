@@ -61,6 +61,13 @@ def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return [float(x) for x in t(spark, sf_dir, "embeddings").where("vec_id = 0").select("embedding").first()[0]]
 
 
+def first_unit(spark: SparkSession, sf_dir: str) -> list[float]:
+    """The first vector at length 1; collections of the metric dot keep vectors as they are, so that scores agree with SQL's."""
+    v = first_vector(spark, sf_dir)
+    n = sum(x * x for x in v) ** 0.5
+    return [x / n for x in v]
+
+
 def rounded(df: DataFrame, c: str = "score") -> DataFrame:
     return df.withColumn(c, F.round(c, 6))
 
@@ -155,12 +162,12 @@ def knn_more_than_rows(spark, sf):
 @query("pending_merge_topk", _knn_sql(sql_dot("e.v", "q.v"), "DESC", q=UNIT_Q0))
 def pending_merge_topk(spark, sf):
     """A tenth of the rows is staged, the others are committed; a search sees both."""
-    c = database(spark).collection("c", 64, "cosine", (1 << 30, 0.0))
+    c = database(spark).collection("c", 64, "dot", (1 << 30, 0.0))
     rows = vectors(spark, sf)
     c.upsert_frame(rows.where("vec_id % 10 <> 0"))
     for r in rows.where("vec_id % 10 = 0").select("id", "vector", "metadata").toLocalIterator():
         c.add(r["vector"], r["metadata"], r["id"])
-    return rounded(c.search(first_vector(spark, sf), 10).select("id", "score"))
+    return rounded(c.search(first_unit(spark, sf), 10).select("id", "score"))
 
 
 # --- vector arithmetic ------------------------------------------------------------------------
@@ -580,9 +587,9 @@ _CHANGED = f"(SELECT id, CASE WHEN vec_id % 5 = 0 THEN list_reverse(v) ELSE v EN
 @query("collection_search", f"SELECT e.id, round({sql_dot('e.v', 'q.v')}, 6) AS score FROM {_CHANGED} e, {UNIT_Q0} q ORDER BY {sql_dot('e.v', 'q.v')} DESC, e.id LIMIT 20")
 def collection_search(spark, sf):
     """A collection that is compacted, then changed: its base is read as it is, without the changed ids."""
-    c = database(spark).collection("c", 64, "cosine")
+    c = database(spark).collection("c", 64, "dot")
     _changed(c, vectors(spark, sf))
-    return rounded(c.search(first_vector(spark, sf), 20).select("id", "score"))
+    return rounded(c.search(first_unit(spark, sf), 20).select("id", "score"))
 
 
 @query("collection_search_indexed", f"SELECT e.id, round({sql_dot('e.v', 'q.v')}, 6) AS score FROM {_CHANGED} e, {UNIT_Q0} q ORDER BY {sql_dot('e.v', 'q.v')} DESC, e.id LIMIT 20")
@@ -590,9 +597,9 @@ def collection_search_indexed(spark, sf):
     """The same through an index that is built before the changes and brought up to date by the search."""
     from ..operators.ivf import AnnConfig
 
-    c = database(spark).collection("c", 64, "cosine", index=AnnConfig(cells=8, probes=8))
-    _changed(c, vectors(spark, sf), lambda: c.search(first_vector(spark, sf), 1))
-    return rounded(c.search(first_vector(spark, sf), 20).select("id", "score"))
+    c = database(spark).collection("c", 64, "dot", index=AnnConfig(cells=8, probes=8))
+    _changed(c, vectors(spark, sf), lambda: c.search(first_unit(spark, sf), 1))
+    return rounded(c.search(first_unit(spark, sf), 20).select("id", "score"))
 
 
 def _changed(c, rows, between=lambda: None) -> None:
