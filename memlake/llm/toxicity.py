@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import class_sample, rebatched, small_batches
+from .common import class_sample, materialise, rebatched, small_batches
 
 #: At most so many labelled documents of each class are used to train.
 TRAIN_DOCS = 2000
@@ -249,7 +249,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, limit: int = TRAIN_DOCS) -
     y = labels.where(F.col("toxic").isin(0, 1)).where(fits).groupBy("doc_id").agg(F.max("toxic").alias("y"))
     y = class_sample(y.withColumn("h", F.xxhash64("doc_id")), "y", "h", limit)  # 2 * limit short rows
     rows = docs.where(F.octet_length("text") <= TRAIN_BYTES).select("doc_id", "text").join(F.broadcast(y), "doc_id")
-    rows = class_sample(rows.withColumn("k", F.xxhash64("doc_id", "text")), "y", "k", limit)  # an id may stand on many rows
+    rows, _ = materialise(rows.withColumn("k", F.xxhash64("doc_id", "text")), "labelled")  # the corpus is read once
+    rows = class_sample(rows, "y", "k", limit)  # an id may stand on many rows
     return [(r["text"], r["y"]) for r in rows.orderBy("h", "doc_id", "text").select("text", "y").collect()]
 
 
