@@ -33,11 +33,11 @@ from .common import local_path, rebatched, shared_dir, small_batches
 
 MAGIC = 0x4D4C544F4B310A
 #: Pieces in either of a worker's two caches; bounds memory, not results.
-CACHE = 400_000
+CACHE = 500_000
 #: Longer pieces (characters) aren't kept in the caches.
 KEPT = 1 << 10
 #: Bytes of text that are encoded together, about: a piece that is in it often is looked up once.
-TOGETHER = 6 << 20
+TOGETHER = 8 << 20
 #: Text of a part, about, as stored in the input's files.
 PART_BYTES = 128 << 20
 #: White space in Unicode, beyond that below U+0250.
