@@ -15,14 +15,11 @@ from ..functions import scalars as S
 from ..functions import vector as V
 from ..functions.jsonfilter import compile_filter
 from ..operators import knn, quant
-from ..types import Metric
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 #: A fixed "now" within the range of ``events.ts``: 2024-01-20T00:00:00Z.
 NOW = 1705708800
-#: Rows that product codes choose to be scored exactly, for ten results.
-PQ_CANDIDATES = 200
 
 Q0 = "(SELECT CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id = 0)"
 UNIT_Q0 = f"(SELECT list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM {Q0})"
@@ -412,10 +409,8 @@ def recall_metric(spark, sf):
 def pq_topk(spark, sf):
     rows, q = vectors(spark, sf), first_vector(spark, sf)
     pq = quant.ProductQuantizer.train(rows)
-    scored = pq.encode(rows.select("id", "vector")).select("id", "vector", pq.score(q, F.col("codes")).alias("_coded"))
-    # codes choose candidates, their vectors the best of them
-    near = scored.orderBy(F.desc("_coded"), "id").limit(PQ_CANDIDATES)
-    return rounded(near.select("id", V.score(Metric.DOT, V.doubles("vector"), V.literal(q)).alias("score")).orderBy(F.desc("score"), "id").limit(10))
+    # codes rule rows out, vectors rank the others
+    return rounded(pq.search(pq.encode(rows.where(V.searchable(F.col("vector"))).select("id", "vector"), error="error"), q, 10))
 
 
 # --- applications -----------------------------------------------------------------------------

@@ -281,6 +281,39 @@ def test_recall_of_the_registered_pq_query(spark, tmp_path, monkeypatch, size):
     assert not any(called)
 
 
+@pytest.mark.parametrize(("near", "scale"), [(5, 0.01), (900, 0.01), (900, 0.001)])
+def test_registered_pq_query_equals_its_sql_among_near_copies(spark, tmp_path, near, scale):
+    v = units(2000, 64, 9)
+    # the smaller the differences, the less of them is left in the codes
+    v[1:near] = v[0] + np.random.default_rng(9).normal(scale=scale, size=(near - 1, 64))
+    # copies of a row among the ten, more than there is room for
+    v[near : near + 12] = v[1 + np.argsort(-v[1:near] @ v[0])[min(5, near - 2)]]
+    sf = embeddings(spark, tmp_path, v)
+    # exact search, by the same SQL
+    assert Q.SQL["pq_topk"] == Q.SQL["knn_dot"]
+    assert Q.pq_topk(spark, sf).collect() == Q.QUERIES["knn_dot"](spark, sf).collect()
+
+
+def test_codes_miss_no_row(spark):
+    v = units(600, 16, 2)
+    v[40:60] *= 1e15
+    v[60:80] *= 1e-15
+    v[80:90] = 0
+    v[90:130] = v[7]
+    v[130, 5], v[131, 0], v[132, 3] = np.nan, np.nan, np.inf
+    df = frame(spark, v)
+    for parts, centroids in ((8, 64), (1, 1)):
+        pq = quant.ProductQuantizer.train(df.where("id < '0130'"), parts=parts, centroids=centroids, rounds=2)
+        coded = pq.encode(df.repartition(5), error="error").cache()
+        for q in (v[7], v[45], v[300] * 1e6, v[85]):
+            for k in (1, 30, 700):
+                assert pq.search(coded, q.tolist(), k).collect() == knn.search(df, q.tolist(), k, "dot").select("id", "score").collect()
+    assert set(pq.encode(coded).columns) == set(coded.columns) and pq.encode(df).columns[-1] == "codes"
+    assert pq.search(coded.limit(0), v[7].tolist(), 3).collect() == []
+    with pytest.raises(InvalidInput):
+        pq.search(coded, v[7].tolist(), 0)
+
+
 def test_probes_follow_the_data(spark, tmp_path):
     v = units(3000, 32, 6)
     df = frame(spark, v)
